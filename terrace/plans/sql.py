@@ -112,7 +112,7 @@ appearances AS (
 RATINGS = f"""
 snapshots AS (
   SELECT {club('l_suppkey')} AS club_id, strftime(l_shipdate, '%Y-%m') AS month,
-    round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 30.0, 4) AS elo
+    floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 30.0 * 100.0) / 100.0 AS elo
   FROM lineitem GROUP BY 1, 2)"""
 
 

@@ -141,6 +141,10 @@ class KeyedWindow:
     def trailing(self, n: int):
         return Window.partitionBy(*self.part).orderBy(*self.order).rowsBetween(-n, -1)
 
+    def up_to_now(self, n: int):
+        """The last ``n`` rows including the current one (needs halo >= n - 1)."""
+        return Window.partitionBy(*self.part).orderBy(*self.order).rowsBetween(1 - n, 0)
+
     def ordered(self):
         return Window.partitionBy(*self.part).orderBy(*self.order)
 

@@ -127,7 +127,7 @@ def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         li.groupBy(club_of(F.col("l_suppkey")).alias("club_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"))
         .agg(cents.alias("s"), F.count("*").alias("n"))
-        .select("club_id", "month", F.round(F.col("s").cast("double") / F.col("n") / 30.0, 4).alias("elo"))
+        .select("club_id", "month", (F.floor(F.col("s").cast("double") / F.col("n") / 30.0 * 100.0) / 100.0).alias("elo"))
     )
 
 
