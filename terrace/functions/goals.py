@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from terrace import fixed_values as V
 
@@ -64,27 +67,50 @@ def outcome_probabilities(lh: Column, la: Column, rho: Column | float = V.DC_RHO
     return probs["home"], probs["draw"], probs["away"]
 
 
-def score_grid(lh: Column, la: Column, rho: Column | float = V.DC_RHO, goals: int = V.MAX_GOALS) -> Column:
-    """The whole normalised grid as an array of (i, j, p), row by row."""
-    rho = rho if isinstance(rho, Column) else F.lit(rho)
-    lh, la = F.greatest(lh, F.lit(1e-6)), F.greatest(la, F.lit(1e-6))
-    ks = F.sequence(F.lit(0), F.lit(goals))
-    pmf = lambda lam, k: F.exp(-lam) * F.pow(lam, k.cast("double")) / F.factorial(k).cast("double")
-    t = low_score_factors(lh, la, rho)
-
-    def cell(i, j):
-        fix = (
-            F.when((i == 0) & (j == 0), t[(0, 0)])
-            .when((i == 0) & (j == 1), t[(0, 1)])
-            .when((i == 1) & (j == 0), t[(1, 0)])
-            .when((i == 1) & (j == 1), t[(1, 1)])
-            .otherwise(F.lit(1.0))
-        )
-        return F.struct(i.alias("i"), j.alias("j"), (pmf(lh, i) * pmf(la, j) * fix).alias("p"))
-
-    cells = F.flatten(F.transform(ks, lambda i: F.transform(ks, lambda j: cell(i, j))))
-    total = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["p"])
-    return F.transform(cells, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / total).alias("p")))
+# Cells of the grid in row order, split by outcome: home win, draw, away win.
+CELLS = [(i, j) for i in range(V.MAX_GOALS + 1) for j in range(V.MAX_GOALS + 1)]
+OUTCOME_CELLS = {
+    1: [c for c in CELLS if c[0] > c[1]],
+    0: [c for c in CELLS if c[0] == c[1]],
+    -1: [c for c in CELLS if c[0] < c[1]],
+}
+
+
+def _grid(lh: np.ndarray, la: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """Normalised grids, one row of 81 cells per fixture."""
+    k = np.arange(V.MAX_GOALS + 1)
+    fact = np.array([math.factorial(int(x)) for x in k], dtype="float64")
+    pmf = lambda lam: np.exp(-lam)[:, None] * np.power(lam[:, None], k) / fact
+    lh, la = np.maximum(lh, 1e-6), np.maximum(la, 1e-6)
+    g = pmf(lh)[:, :, None] * pmf(la)[:, None, :]
+    g[:, 0, 0] *= np.maximum(1 - lh * la * rho, 0)
+    g[:, 0, 1] *= np.maximum(1 + lh * rho, 0)
+    g[:, 1, 0] *= np.maximum(1 + la * rho, 0)
+    g[:, 1, 1] *= np.maximum(1 - rho, 0)
+    flat = g.reshape(len(g), -1)
+    return flat / flat.sum(axis=1, keepdims=True)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def score_grid(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.Series:
+    """The whole grid of a fixture, row by row, on Arrow batches."""
+    return pd.Series(list(_grid(lh.to_numpy("float64"), la.to_numpy("float64"), rho.to_numpy("float64"))))
+
+
+_CDF_TYPE = StructType([StructField(n, ArrayType(DoubleType())) for n in ("home", "draw", "away")])
+
+
+@F.pandas_udf(_CDF_TYPE)
+def score_cdfs(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.DataFrame:
+    """Cumulative cell probabilities given each outcome, in the order of ``OUTCOME_CELLS``."""
+    g = _grid(lh.to_numpy("float64"), la.to_numpy("float64"), rho.to_numpy("float64"))
+    out = {}
+    for name, outcome in (("home", 1), ("draw", 0), ("away", -1)):
+        part = np.cumsum(g[:, [CELLS.index(c) for c in OUTCOME_CELLS[outcome]]], axis=1)
+        total = part[:, -1:]
+        # An impossible outcome falls back to its first cell (1-0, 0-0, 0-1).
+        out[name] = list(np.where(total > 0, part / np.where(total > 0, total, 1.0), 1.0))
+    return pd.DataFrame(out)
 
 
 def entropy3(p1: Column, p2: Column, p3: Column) -> Column:

@@ -131,8 +131,8 @@ def class_distribution(df: DataFrame, y: str = "y") -> DataFrame:
     """Counts per outcome and whether it is the majority class."""
     c = df.groupBy(y).agg(F.count("*").alias("n"))
     top = c.agg(F.max_by(y, F.struct("n", F.col(y))).alias("_top"), F.sum("n").alias("_all"))
-    both = c.join(F.broadcast(top))  # one-row scalar
-    return both.select(y, "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"), (F.col(y) == F.col("_top")).alias("majority"))
+    share = F.col("n") / top.select("_all").scalar()
+    return c.select(y, "n", F.round(share, 6).alias("share"), (F.col(y) == top.select("_top").scalar()).alias("majority"))
 
 
 def auc_ovr(df: DataFrame, y: str = "y", probs=PROBS) -> DataFrame:

@@ -244,12 +244,12 @@ def agg_blend_grid(spark, sf_dir):
     with_ctes(
         MATCHES, OUTCOMES,
         select="""
-SELECT match_id, round(0.7 * p_away + 0.3 * q_away, 6) AS p_away, round(0.7 * p_draw + 0.3 * q_draw, 6) AS p_draw, round(0.7 * p_home + 0.3 * q_home, 6) AS p_home FROM outcomes""",
+SELECT match_id, round(0.7 * p_away + 0.3 * q_away, 10) AS p_away, round(0.7 * p_draw + 0.3 * q_draw, 10) AS p_draw, round(0.7 * p_home + 0.3 * q_home, 10) AS p_home FROM outcomes""",
     ),
 )
 def ml_dc_blend(spark, sf_dir):
     probs = sweeps.blend(0.3, metrics.PROBS, ("q_away", "q_draw", "q_home"))
-    return _outcomes(spark, sf_dir).select("match_id", *[F.round(p, 6).alias(n) for n, p in zip(metrics.PROBS, probs)])
+    return _outcomes(spark, sf_dir).select("match_id", *[F.round(p, 10).alias(n) for n, p in zip(metrics.PROBS, probs)])
 
 
 @query(
