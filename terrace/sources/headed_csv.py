@@ -38,15 +38,17 @@ def headed_rows(lines: DataFrame, header_marker: str, width: int = MAX_COLUMNS,
     clean = lines.withColumn("value", F.regexp_replace("value", "^﻿|[\r\n]+$", "")).filter(F.trim("value") != "")
     is_header = F.col("value").rlike(header_marker)
     heads = clean.filter(is_header).groupBy(file).agg(F.first("value").alias("_head"))
-    heads = heads.withColumn("_names", F.filter(_cells(F.col("_head"), width), lambda c: c.isNotNull())).drop("_head")
-    body = clean.filter(~is_header).withColumn("_vals", _cells(F.col("value"), width))
-    joined = body.join(heads, file)
-    n = F.size("_names")
-    pairs = F.arrays_zip(F.col("_names").alias("k"), F.slice("_vals", 1, n).alias("v"))
-    named = F.filter(pairs, lambda p: F.coalesce(p["k"], F.lit("")) != "")
-    # A name printed twice keeps its last value.
-    as_map = F.map_from_entries(F.filter(named, lambda p, i: F.size(F.filter(named, lambda q, j: (j > i) & (q["k"] == p["k"]))) == 0))
-    return joined.withColumn("row", as_map).drop("_vals", "_names", "value")
+    named = F.filter(
+        F.transform(_cells(F.col("_head"), width), lambda c, i: F.struct(c.alias("name"), i.alias("at"))),
+        lambda p: F.coalesce(p["name"], F.lit("")) != "",
+    )
+    heads = heads.select(file, named.alias("_all"))
+    # A name printed twice keeps its last column.
+    last = F.filter("_all", lambda p: ~F.exists("_all", lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"])))
+    heads = heads.select(file, last.alias("_cols")).select(file, F.col("_cols.name").alias("_names"), F.col("_cols.at").alias("_at"))
+    body = clean.filter(~is_header).withColumn("_vals", _cells(F.col("value"), width)).join(heads, file)
+    values = F.transform("_at", lambda i: F.get(F.col("_vals"), i))
+    return body.withColumn("row", F.map_from_arrays("_names", values)).drop("_vals", "_names", "_at", "value")
 
 
 def value(name: str, row: str = "row") -> Column:
