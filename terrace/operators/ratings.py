@@ -158,6 +158,7 @@ def _fold_chunks(inputs: DataFrame, params: RatingParams, limit: int) -> DataFra
     def run(key: tuple, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         teams = frame_to_state(held)
         rated = fold_frame(rows, teams, params) if len(rows) else pd.DataFrame(columns=["match_id", *RATED])
+        rated = rated.assign(team=None, opponents=[[] for _ in range(len(rated))])
         both = pd.concat([rated, state_to_frame(teams)], ignore_index=True)
         both["component"] = key[0]
         return both[["component", "match_id", *RATED, *STATE]].astype({"match_id": "Int64"})
