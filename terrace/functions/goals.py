@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from terrace import fixed_values as V
 
@@ -91,26 +91,36 @@ def _grid(lh: np.ndarray, la: np.ndarray, rho: np.ndarray) -> np.ndarray:
     return flat / flat.sum(axis=1, keepdims=True)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def score_grid(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.Series:
+def _as_lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype="int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
+def _numpy(*cols: pa.Array) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False).astype("float64") for c in cols]
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def score_grid(lh: pa.Array, la: pa.Array, rho: pa.Array) -> pa.Array:
     """The whole grid of a fixture, row by row, on Arrow batches."""
-    return pd.Series(list(_grid(lh.to_numpy("float64"), la.to_numpy("float64"), rho.to_numpy("float64"))))
+    return _as_lists(_grid(*_numpy(lh, la, rho)))
 
 
-_CDF_TYPE = StructType([StructField(n, ArrayType(DoubleType())) for n in ("home", "draw", "away")])
+# Where each outcome's cells start in the joint cumulative table, and how many there are.
+CDF_START = {1: 0, 0: len(OUTCOME_CELLS[1]), -1: len(OUTCOME_CELLS[1]) + len(OUTCOME_CELLS[0])}
 
 
-@F.pandas_udf(_CDF_TYPE)
-def score_cdfs(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.DataFrame:
-    """Cumulative cell probabilities given each outcome, in the order of ``OUTCOME_CELLS``."""
-    g = _grid(lh.to_numpy("float64"), la.to_numpy("float64"), rho.to_numpy("float64"))
-    out = {}
-    for name, outcome in (("home", 1), ("draw", 0), ("away", -1)):
+@F.arrow_udf(ArrayType(DoubleType()))
+def score_cdfs(lh: pa.Array, la: pa.Array, rho: pa.Array) -> pa.Array:
+    """Cumulative cell probabilities given a home win, a draw and an away win, one after the other."""
+    g = _grid(*_numpy(lh, la, rho))
+    parts = []
+    for outcome in (1, 0, -1):
         part = np.cumsum(g[:, [CELLS.index(c) for c in OUTCOME_CELLS[outcome]]], axis=1)
         total = part[:, -1:]
         # An impossible outcome falls back to its first cell (1-0, 0-0, 0-1).
-        out[name] = list(np.where(total > 0, part / np.where(total > 0, total, 1.0), 1.0))
-    return pd.DataFrame(out)
+        parts.append(np.where(total > 0, part / np.where(total > 0, total, 1.0), 1.0))
+    return _as_lists(np.concatenate(parts, axis=1))
 
 
 def entropy3(p1: Column, p2: Column, p3: Column) -> Column:

@@ -12,15 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
-from terrace.functions.goals import OUTCOME_CELLS, score_cdfs, score_grid
+from terrace.functions.goals import CDF_START, OUTCOME_CELLS, score_cdfs, score_grid
 
 SIM_BLOCK = 1000
 
 
-def uniform(seed: int, *keys: Column | str) -> Column:
-    """A uniform in [0, 1) from an md5 of the keys."""
+def draw_hash(seed: int, *keys: Column | str) -> Column:
+    """Hex digest of (seed, keys); different slices of it are independent uniforms."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.md5(text)
+
+
+def uniform(digest: Column, part: int = 0) -> Column:
+    """A uniform in [0, 1) from eight hex digits of a digest."""
+    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def _lambdas(rho: float) -> list[Column]:
@@ -35,10 +40,8 @@ def grid_rows(fixtures: DataFrame, rho: float = V.DC_RHO) -> DataFrame:
 
 
 def with_conditional_cdf(fixtures: DataFrame, rho: float = V.DC_RHO) -> DataFrame:
-    """Cumulative scoreline tables given a home win, a draw and an away win."""
-    return fixtures.withColumn("cdf", score_cdfs(*_lambdas(rho))).select(
-        "*", F.col("cdf.home").alias("cdf_home"), F.col("cdf.draw").alias("cdf_draw"), F.col("cdf.away").alias("cdf_away")
-    ).drop("cdf")
+    """Cumulative scoreline tables given a home win, a draw and an away win, end to end in one array."""
+    return fixtures.withColumn("cdf", score_cdfs(*_lambdas(rho)))
 
 
 def cell_goals(outcome: Column, idx: Column) -> tuple[Column, Column]:
@@ -55,35 +58,41 @@ def cell_goals(outcome: Column, idx: Column) -> tuple[Column, Column]:
 
 def cdf_rows(fixtures: DataFrame) -> DataFrame:
     """(match_id, outcome, i, j, cdf) of the conditional tables."""
-    f = with_conditional_cdf(fixtures)
-    tagged = F.array(
-        *[F.struct(F.lit(o).alias("outcome"), F.col(c).alias("cells")) for o, c in ((1, "cdf_home"), (0, "cdf_draw"), (-1, "cdf_away"))]
-    )
-    rows = f.select("match_id", F.explode(tagged).alias("t")).select("match_id", "t.outcome", F.posexplode("t.cells").alias("pos", "cdf"))
-    i, j = cell_goals(F.col("outcome"), F.col("pos"))
+    rows = with_conditional_cdf(fixtures).select("match_id", F.posexplode("cdf").alias("pos", "cdf"))
+    outcome = F.when(F.col("pos") < CDF_START[0], 1).when(F.col("pos") < CDF_START[-1], 0).otherwise(-1)
+    rows = rows.withColumn("outcome", outcome)
+    i, j = cell_goals(F.col("outcome"), F.col("pos") - _first_cell(F.col("outcome")))
     return rows.select("match_id", "outcome", i.alias("i"), j.alias("j"), "cdf")
 
 
+def _first_cell(outcome: Column) -> Column:
+    return F.when(outcome == 1, CDF_START[1]).when(outcome == 0, CDF_START[0]).otherwise(CDF_START[-1])
+
+
 def expand(fixtures: DataFrame, keys: list[str], n_sims: int, seed: int = 42, block: int = SIM_BLOCK) -> DataFrame:
     """One row per (fixture, simulation) with the sampled outcome and scoreline.
 
-    The cumulative tables are built once per fixture; a draw finds its cell by
-    counting the table entries below it, unrolled so it stays in generated code.
+    Bare fixtures are shuffled by (keys, block); the cumulative tables are built
+    after that, and a draw finds its cell by counting the table entries below it,
+    unrolled so it stays in generated code.
     """
-    blocks = with_conditional_cdf(fixtures).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block))))
-    blocks = blocks.repartition(*keys, "block")
+    blocks = fixtures.select(*keys, "match_id", "home_team", "away_team", "p_home", "p_draw", "exp_home", "exp_away")
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block)))).repartition(*keys, "block")
+    blocks = with_conditional_cdf(blocks).drop("exp_home", "exp_away")
     first = F.col("block") * block
     drawn = blocks.withColumn("sim", F.explode(F.sequence(first, F.least(first + block, F.lit(n_sims)) - 1)))
-    drawn = drawn.withColumns({"u1": uniform(seed, "sim", "match_id", F.lit(1)), "u2": uniform(seed, "sim", "match_id", F.lit(2))})
+    drawn = drawn.withColumn("hash", draw_hash(seed, "sim", "match_id"))
+    drawn = drawn.withColumns({"u1": uniform(F.col("hash"), 0), "u2": uniform(F.col("hash"), 1)})
     drawn = drawn.withColumn(
         "outcome", F.when(F.col("u1") < F.col("p_home"), 1).when(F.col("u1") < F.col("p_home") + F.col("p_draw"), 0).otherwise(-1)
     )
     o = F.col("outcome")
-    drawn = drawn.withColumn("cdf", F.when(o == 1, F.col("cdf_home")).when(o == 0, F.col("cdf_draw")).otherwise(F.col("cdf_away")))
+    drawn = drawn.withColumns({"start": _first_cell(o), "last": F.when(o == 0, len(OUTCOME_CELLS[0]) - 1).otherwise(len(OUTCOME_CELLS[1]) - 1)})
     below = F.lit(0)
-    for k in range(len(OUTCOME_CELLS[1])):
-        below = below + F.when(F.get("cdf", F.lit(k)) < F.col("u2"), 1).otherwise(0)
-    drawn = drawn.withColumn("idx", F.least(below, F.size("cdf") - 1))
+    for k in range(len(OUTCOME_CELLS[1]) - 1):
+        # The last cell needs no test: whatever lies beyond the others falls into it.
+        below = below + F.when((F.col("last") > k) & (F.get("cdf", F.col("start") + k) < F.col("u2")), 1).otherwise(0)
+    drawn = drawn.withColumn("idx", below)
     hg, ag = cell_goals(o, F.col("idx"))
     return drawn.select(*keys, "match_id", "home_team", "away_team", "block", "sim", "outcome", hg.alias("hg"), ag.alias("ag"))
 
@@ -115,7 +124,7 @@ def simulated_tables(expanded: DataFrame, keys: list[str], start: DataFrame | No
 def ranked(tables: DataFrame, keys: list[str], seed: int = 42, points_only: bool = False) -> DataFrame:
     """Positions within each simulation; exact ties fall to a hash of (seed, sim, team)."""
     by = [F.desc("points")] if points_only else [F.desc("points"), F.desc("gd"), F.desc("gf")]
-    w = Window.partitionBy(*keys, "block", "sim").orderBy(*by, F.desc(uniform(seed, "sim", "team")), "team")
+    w = Window.partitionBy(*keys, "block", "sim").orderBy(*by, F.desc(uniform(draw_hash(seed, "sim", "team"))), "team")
     return tables.withColumn("position", F.row_number().over(w))
 
 

@@ -28,14 +28,14 @@ cdfs AS (
   SELECT match_id, outcome, i, j, sum(w) OVER (PARTITION BY match_id, outcome ORDER BY i, j ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY match_id, outcome) AS cdf FROM cells)"""
 
 
-def _u(*keys: str) -> str:
+def _u(*keys: str, part: int = 0) -> str:
     text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in (str(SEED), *keys))
-    return f"('0x' || substr(md5({text}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
+    return f"('0x' || substr(md5({text}), {1 + 8 * part}, 8))::UBIGINT / 4294967296.0::DOUBLE"
 
 
 _DRAWN = f"""
 draws AS (
-  SELECT p.*, CAST(sim AS INTEGER) AS sim, {_u('sim', 'match_id', '1')} AS u1, {_u('sim', 'match_id', '2')} AS u2 FROM priced p, range({N_SIMS}) t(sim)),
+  SELECT p.*, CAST(sim AS INTEGER) AS sim, {_u('sim', 'match_id')} AS u1, {_u('sim', 'match_id', part=1)} AS u2 FROM priced p, range({N_SIMS}) t(sim)),
 outcomes AS (SELECT *, CASE WHEN u1 < p_home THEN 1 WHEN u1 < p_home + p_draw THEN 0 ELSE -1 END AS outcome FROM draws),
 sampled AS (
   SELECT o.competition, o.season, o.match_id, o.home_team, o.away_team, o.sim, o.outcome, c.cell.i AS hg, c.cell.j AS ag

@@ -24,10 +24,17 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF
     return lines.repartition(spread) if spread else lines
 
 
-def _cells(line: Column, width: int) -> Column:
+def _with_cells(df: DataFrame, line: str, width: int, out: str) -> DataFrame:
+    """Cells of a line; lines without quotes are split directly, the rest go through the CSV parser.
+
+    The parsed struct is its own column, so a line is parsed once and not once per cell.
+    """
     schema = ", ".join(f"c{i} string" for i in range(width))
-    row = F.from_csv(line, schema)
-    return F.array(*[F.trim(row[f"c{i}"]) for i in range(width)])
+    quoted = F.col(line).contains('"')
+    df = df.withColumn("_parsed", F.when(quoted, F.from_csv(line, schema)))
+    fields = F.array(*[F.col(f"_parsed.c{i}") for i in range(width)])
+    cells = F.when(quoted, fields).otherwise(F.split(line, ","))
+    return df.withColumn(out, F.transform(cells, lambda c: F.trim(c))).drop("_parsed")
 
 
 def headed_rows(lines: DataFrame, header_marker: str, width: int = MAX_COLUMNS, file: str = "file") -> DataFrame:
@@ -39,14 +46,14 @@ def headed_rows(lines: DataFrame, header_marker: str, width: int = MAX_COLUMNS,
     is_header = F.col("value").rlike(header_marker)
     heads = clean.filter(is_header).groupBy(file).agg(F.first("value").alias("_head"))
     named = F.filter(
-        F.transform(_cells(F.col("_head"), width), lambda c, i: F.struct(c.alias("name"), i.alias("at"))),
+        F.transform("_cells", lambda c, i: F.struct(c.alias("name"), i.alias("at"))),
         lambda p: F.coalesce(p["name"], F.lit("")) != "",
     )
-    heads = heads.select(file, named.alias("_all"))
+    heads = _with_cells(heads, "_head", width, "_cells").select(file, named.alias("_all"))
     # A name printed twice keeps its last column.
     last = F.filter("_all", lambda p: ~F.exists("_all", lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"])))
     heads = heads.select(file, last.alias("_cols")).select(file, F.col("_cols.name").alias("_names"), F.col("_cols.at").alias("_at"))
-    body = clean.filter(~is_header).withColumn("_vals", _cells(F.col("value"), width)).join(heads, file)
+    body = _with_cells(clean.filter(~is_header), "value", width, "_vals").join(heads, file)
     values = F.transform("_at", lambda i: F.get(F.col("_vals"), i))
     return body.withColumn("row", F.map_from_arrays("_names", values)).drop("_vals", "_names", "_at", "value")
 

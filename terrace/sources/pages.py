@@ -10,7 +10,7 @@ from terrace.operators.feeds import carry_forward
 
 # The page patterns.
 RESULT_ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
-SCORE_SPLIT = r'(?s)^(.*?)class="ergebnis-link"[^>]*>\s*(\d+):(\d+)\s*<(.*)$'
+SCORE = r'class="ergebnis-link"[^>]*>\s*(\d+):(\d+)\s*<'
 TEAM_ANCHOR = r'<a title="([^"]+)"[^>]*href="[^"]*?/verein/\d+/'
 DATE_LINK = r"datum/(\d{4}-\d{2}-\d{2})"
 ITEMS_TABLE = r'(?s)<table class="items">(.*?)</table>'
@@ -33,16 +33,18 @@ def result_rows(pages: DataFrame) -> DataFrame:
     Everything is cut out of the row before the carry, so only short columns are
     shuffled, never the page text.
     """
-    part = lambda i: F.regexp_extract("row", SCORE_SPLIT, i)
     teams = lambda text: F.regexp_extract_all(text, F.lit(TEAM_ANCHOR), 1)
-    cut = page_rows(pages, RESULT_ROW).select(
+    halves = F.split("row", SCORE, 2)
+    cut = page_rows(pages, RESULT_ROW).withColumn("halves", halves)
+    cut = cut.withColumns({"before": teams(F.get("halves", F.lit(0))), "after": teams(F.get("halves", F.lit(1)))})
+    cut = cut.select(
         "page_id",
         "pos",
         F.nullif(F.regexp_extract("row", DATE_LINK, 1), F.lit("")).alias("d"),
-        F.trim(F.try_element_at(teams(part(1)), F.lit(-1))).alias("home_team"),
-        F.trim(F.try_element_at(teams(part(4)), F.lit(1))).alias("away_team"),
-        part(2).try_cast("int").alias("home_score"),
-        part(3).try_cast("int").alias("away_score"),
+        F.trim(F.try_element_at("before", F.lit(-1))).alias("home_team"),
+        F.trim(F.try_element_at("after", F.lit(1))).alias("away_team"),
+        F.regexp_extract("row", SCORE, 1).try_cast("int").alias("home_score"),
+        F.regexp_extract("row", SCORE, 2).try_cast("int").alias("away_score"),
     )
     dated = carry_forward(cut, ["page_id"], "pos", "d", "match_date")
     played = dated.dropna(subset=["match_date", "home_team", "away_team", "home_score", "away_score"])
