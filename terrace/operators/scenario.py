@@ -73,8 +73,7 @@ def expand(fixtures: DataFrame, keys: list[str], n_sims: int, seed: int = 42, bl
     """One row per (fixture, simulation) with the sampled outcome and scoreline.
 
     Bare fixtures are shuffled by (keys, block); the cumulative tables are built
-    after that, and a draw finds its cell by counting the table entries below it,
-    unrolled so it stays in generated code.
+    after that, and a draw finds its cell by counting the table entries below it.
     """
     blocks = fixtures.select(*keys, "match_id", "home_team", "away_team", "p_home", "p_draw", "exp_home", "exp_away")
     blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block)))).repartition(*keys, "block")
@@ -88,11 +87,11 @@ def expand(fixtures: DataFrame, keys: list[str], n_sims: int, seed: int = 42, bl
     )
     o = F.col("outcome")
     drawn = drawn.withColumns({"start": _first_cell(o), "last": F.when(o == 0, len(OUTCOME_CELLS[0]) - 1).otherwise(len(OUTCOME_CELLS[1]) - 1)})
-    below = F.lit(0)
-    for k in range(len(OUTCOME_CELLS[1]) - 1):
-        # The last cell needs no test: whatever lies beyond the others falls into it.
-        below = below + F.when((F.col("last") > k) & (F.get("cdf", F.col("start") + k) < F.col("u2")), 1).otherwise(0)
-    drawn = drawn.withColumn("idx", below)
+    # The last cell needs no test: whatever lies beyond the others falls into it.
+    table = F.slice("cdf", F.col("start") + 1, F.col("last"))
+    below = F.size(F.filter(table, lambda c: c < F.col("u2")))
+    # u2 is named twice so that its digest arithmetic is not inlined into the lambda.
+    drawn = drawn.withColumn("idx", F.when(F.col("u2") >= 0.0, below))
     hg, ag = cell_goals(o, F.col("idx"))
     return drawn.select(*keys, "match_id", "home_team", "away_team", "block", "sim", "outcome", hg.alias("hg"), ag.alias("ag"))
 
