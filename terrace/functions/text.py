@@ -47,6 +47,17 @@ def normalize_name(text: Column, drop_tokens: str = V.CLUB_DROP_TOKENS) -> Colum
     return F.regexp_replace(F.regexp_replace(s, drop_tokens, " "), r"[^a-z0-9]", "")
 
 
+def to_int(text: Column) -> Column:
+    """Whole number or null.  The pattern test avoids the cost of failed casts on dirty feeds."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?\d{1,9}$"), t.cast("int"))
+
+
+def to_double(text: Column) -> Column:
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), t.cast("double"))
+
+
 def substrings(text: Column, shortest: int = 1) -> Column:
     """Distinct substrings of a (short) name."""
     n = F.length(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.text import to_int
+
 SIDE_STATS = [("shots", "shots"), ("sot", "shots_on_target"), ("corners", "corners")]
 
 
@@ -26,7 +28,7 @@ def split_score(text: Column) -> tuple[Column, Column]:
     """'2-1' -> (2, 1); anything else -> nulls."""
     parts = F.split(text, "-")
     ok = F.size(parts) == 2
-    side = lambda i: F.when(ok, F.try_element_at(parts, F.lit(i))).try_cast("int")
+    side = lambda i: to_int(F.when(ok, F.try_element_at(parts, F.lit(i))))
     return side(1), side(2)
 
 

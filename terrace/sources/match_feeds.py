@@ -6,11 +6,14 @@ columns, and keeps whatever further columns the rows carry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
 from terrace.functions.dates import long_season, parse_match_date, trailing_year
+from terrace.functions.text import to_double, to_int
 from terrace.operators.match_rows import finished, split_score, with_outcome
 from terrace.sources.headed_csv import has, value
 
@@ -29,25 +32,39 @@ def competition_of(feed_code: Column) -> Column:
 
 
 def _stat_columns(from_feed: bool) -> dict[str, Column]:
-    get = lambda c: value(c).try_cast("int") if from_feed else F.lit(None).cast("int")
+    get = lambda c: to_int(value(c)) if from_feed else F.lit(None).cast("int")
     return {name: get(c) for name, c in V.STAT_COLUMNS.items()}
 
 
+def _records(df: DataFrame, fields: dict[str, Column], ok: Callable[[Column], Column]) -> DataFrame:
+    """Parse each row once and keep it when ``ok`` holds for the parsed record.
+
+    Written as an explode of a zero-or-one element array: an ordinary filter would be
+    pushed below the parse and repeat it for every condition.
+    """
+    record = F.struct(*[c.alias(n) for n, c in fields.items()])
+    carried = [c for c in df.columns if c not in (*KEYS, *fields)]
+    kept = df.select(*carried, F.explode(F.filter(F.array(record), ok)).alias("_r"))
+    return kept.select(*carried, *[F.col(f"_r.{n}").alias(n) for n in fields if not n.startswith("_")])
+
+
 def _canonical(df: DataFrame, day: Column, home: Column, away: Column, hs: Column, as_: Column, stats: bool, keep: Column) -> DataFrame:
-    out = df.withColumns(
-        {
-            "match_date": day,
-            "home_team": home,
-            "away_team": away,
-            "home_score": hs,
-            "away_score": as_,
-            "competition": competition_of(F.col("feed_code")),
-            **_stat_columns(stats),
-        }
-    )
-    named = (F.col("home_team") != "") & (F.col("away_team") != "")
-    full = F.col("match_date").isNotNull() & F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
-    return with_outcome(out.filter(named & full & keep)).drop(*KEYS)
+    fields = {
+        "match_date": day,
+        "home_team": home,
+        "away_team": away,
+        "home_score": hs,
+        "away_score": as_,
+        "competition": competition_of(F.col("feed_code")),
+        **_stat_columns(stats),
+        "_keep": keep,
+    }
+
+    def ok(m: Column) -> Column:
+        full = m["match_date"].isNotNull() & m["home_score"].isNotNull() & m["away_score"].isNotNull()
+        return m["_keep"] & (m["home_team"] != "") & (m["away_team"] != "") & full
+
+    return with_outcome(_records(df, fields, ok))
 
 
 def parse_mirror(rows: DataFrame) -> DataFrame:
@@ -58,7 +75,7 @@ def parse_mirror(rows: DataFrame) -> DataFrame:
 
 def parse_results(rows: DataFrame) -> DataFrame:
     """Main results rows; a blank score reads as zero, the result letter decides whether the match counts."""
-    score = lambda c: F.when(value(c) == "", 0).otherwise(value(c).try_cast("int"))
+    score = lambda c: F.when(value(c) == "", 0).otherwise(to_int(value(c)))
     return _canonical(
         rows, parse_match_date(value("Date")), value("HomeTeam"), value("AwayTeam"), score("FTHG"), score("FTAG"), True,
         value("FTR").isin("H", "D", "A"),
@@ -81,7 +98,7 @@ def parse_history(rows: DataFrame) -> DataFrame:
     keep = F.coalesce(same, F.lit(False)) & value("Res").isin("H", "D", "A")
     return _canonical(
         rows, parse_match_date(value("Date"), ("dmy4", "dmy2")), _canonical_name(value("Home")), _canonical_name(value("Away")),
-        value("HG").try_cast("int"), value("AG").try_cast("int"), False, keep,
+        to_int(value("HG")), to_int(value("AG")), False, keep,
     )
 
 
@@ -122,38 +139,33 @@ def parse_odds(rows: DataFrame) -> DataFrame:
     for triple in V.ODDS_TRIPLES:
         whole = has(triple[0]) & has(triple[1]) & has(triple[2])
         for i, c in enumerate(triple):
-            odd = value(c).try_cast("double")
+            odd = to_double(value(c))
             chosen[i] = F.when(whole, odd) if chosen[i] is None else chosen[i].when(whole, odd)
     y = F.when(value("FTR") == "H", 1).when(value("FTR") == "D", 0).when(value("FTR") == "A", -1)
-    out = rows.withColumns({"y": y, "_oh": chosen[0], "_od": chosen[1], "_oa": chosen[2]})
-    out = out.withColumns(devig(F.col("_oh"), F.col("_od"), F.col("_oa")))
-    return out.dropna(subset=["y", "p_home", "p_draw", "p_away"]).drop("_oh", "_od", "_oa", *KEYS)
+    fields = {"y": y, **devig(*chosen)}
+    return _records(rows, fields, lambda m: m["y"].isNotNull() & m["p_home"].isNotNull() & m["p_draw"].isNotNull() & m["p_away"].isNotNull())
 
 
 def parse_valuations(rows: DataFrame) -> DataFrame:
     """Dated valuations; rows with a blank or a non-number are dropped."""
-    v = rows.withColumns(
-        {
-            "valued_on": value("date").try_cast("date"),
-            "player_id": value("player_id"),
-            "value_eur": value("market_value_in_eur").try_cast("decimal(18,2)"),
-            "club_id": F.nullif(value("current_club_id"), F.lit("")),
-        }
-    )
-    return v.dropna(subset=["valued_on", "value_eur", "club_id"]).drop(*KEYS)
+    fields = {
+        "valued_on": parse_match_date(value("date"), ("iso",)),
+        "player_id": value("player_id"),
+        "value_eur": to_double(value("market_value_in_eur")).cast("decimal(18,2)"),
+        "club_id": F.nullif(value("current_club_id"), F.lit("")),
+    }
+    return _records(rows, fields, lambda m: m["valued_on"].isNotNull() & m["value_eur"].isNotNull() & m["club_id"].isNotNull())
 
 
 def parse_appearances(rows: DataFrame) -> DataFrame:
-    num = lambda c: F.when(value(c) == "", 0.0).otherwise(value(c).try_cast("double"))
-    a = rows.withColumns(
-        {
-            "club_id": F.nullif(value("player_club_id"), F.lit("")),
-            "game_id": F.nullif(value("game_id"), F.lit("")),
-            "played_on": value("date").try_cast("date"),
-            **{c: num(c) for c in ("goals", "assists", "yellow_cards", "red_cards")},
-        }
-    )
-    return a.dropna(subset=["club_id", "game_id", "played_on"]).drop(*KEYS)
+    num = lambda c: F.when(value(c) == "", 0.0).otherwise(to_double(value(c)))
+    fields = {
+        "club_id": F.nullif(value("player_club_id"), F.lit("")),
+        "game_id": F.nullif(value("game_id"), F.lit("")),
+        "played_on": parse_match_date(value("date"), ("iso",)),
+        **{c: num(c) for c in ("goals", "assists", "yellow_cards", "red_cards")},
+    }
+    return _records(rows, fields, lambda m: m["club_id"].isNotNull() & m["game_id"].isNotNull() & m["played_on"].isNotNull())
 
 
 def parse_rating_snapshots(rows: DataFrame, month: Column | None = None) -> DataFrame:
@@ -161,12 +173,10 @@ def parse_rating_snapshots(rows: DataFrame, month: Column | None = None) -> Data
     from terrace.functions.text import normalize_name
 
     month = F.regexp_extract("file", r"(\d{4}-\d{2})", 1) if month is None else month
-    r = rows.withColumns(
-        {
-            "country": value("Country"),
-            "norm_name": normalize_name(value("Club"), V.RATING_DROP_TOKENS),
-            "month": month,
-            "elo": value("Elo").try_cast("double"),
-        }
-    )
-    return r.filter("country <> '' and norm_name <> '' and elo is not null").drop(*KEYS)
+    fields = {
+        "country": value("Country"),
+        "norm_name": normalize_name(value("Club"), V.RATING_DROP_TOKENS),
+        "month": month,
+        "elo": to_double(value("Elo")),
+    }
+    return _records(rows, fields, lambda m: (m["country"] != "") & (m["norm_name"] != "") & m["elo"].isNotNull())

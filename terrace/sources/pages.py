@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.fixed_values import VALUE_BAND_EUR
+from terrace.functions.text import to_double, to_int
 from terrace.operators.feeds import carry_forward
 
 # The page patterns.
@@ -43,8 +44,8 @@ def result_rows(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("row", DATE_LINK, 1), F.lit("")).alias("d"),
         F.trim(F.try_element_at("before", F.lit(-1))).alias("home_team"),
         F.trim(F.try_element_at("after", F.lit(1))).alias("away_team"),
-        F.regexp_extract("row", SCORE, 1).try_cast("int").alias("home_score"),
-        F.regexp_extract("row", SCORE, 2).try_cast("int").alias("away_score"),
+        to_int(F.regexp_extract("row", SCORE, 1)).alias("home_score"),
+        to_int(F.regexp_extract("row", SCORE, 2)).alias("away_score"),
     )
     dated = carry_forward(cut, ["page_id"], "pos", "d", "match_date")
     played = dated.dropna(subset=["match_date", "home_team", "away_team", "home_score", "away_score"])
@@ -59,7 +60,7 @@ def club_values(pages: DataFrame) -> DataFrame:
     amounts = F.zip_with(
         F.regexp_extract_all(row, F.lit(MONEY), 1),
         F.regexp_extract_all(row, F.lit(MONEY), 2),
-        lambda n, u: F.replace(n, F.lit(","), F.lit("")).try_cast("double")
+        lambda n, u: to_double(F.replace(n, F.lit(","), F.lit("")))
         * F.when(u == "bn", 1e9).when(u == "m", 1e6).otherwise(1e3),
     )
     title = F.coalesce(F.nullif(F.regexp_extract(row, CLUB_TITLE, 1), F.lit("")), F.regexp_extract(row, ANY_TITLE, 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.text import to_int
+
 SQUAD_DENOMINATOR = 25.0
 
 STANDINGS_SCHEMA = """
@@ -71,7 +73,7 @@ def style_metrics(df: DataFrame, json: str = "json", keep: list[str] | None = No
     d = d.filter(F.coalesce(games, F.lit(0)) > 0)
     most = F.array_max(F.transform("d.lineups", lambda x: F.coalesce(x["played"], F.lit(0))))
     primary = F.try_element_at(F.filter("d.lineups", lambda x: F.coalesce(x["played"], F.lit(0)) == most), F.lit(1))["formation"]
-    shape = F.coalesce(F.element_at(F.split(F.coalesce(primary, F.lit("")), "-"), 1).try_cast("int"), F.lit(4))
+    shape = F.coalesce(to_int(F.element_at(F.split(F.coalesce(primary, F.lit("")), "-"), 1)), F.lit(4))
     block = lambda c: F.coalesce(_sum_totals(F.col(c)), F.lit(0))
     minute = F.col("d.goals.for.minute")
     late = F.lit(0)
