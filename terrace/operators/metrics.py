@@ -5,7 +5,7 @@ Classes are -1 (away), 0 (draw), 1 (home); probability columns come in that orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
@@ -130,9 +130,9 @@ def confusion(df: DataFrame, y: Column, pred: Column) -> DataFrame:
 def class_distribution(df: DataFrame, y: str = "y") -> DataFrame:
     """Counts per outcome and whether it is the majority class."""
     c = df.groupBy(y).agg(F.count("*").alias("n"))
-    top = c.agg(F.max_by(y, F.struct("n", F.col(y))).alias("_top"), F.sum("n").alias("_all"))
-    share = F.col("n") / top.select("_all").scalar()
-    return c.select(y, "n", F.round(share, 6).alias("share"), (F.col(y) == top.select("_top").scalar()).alias("majority"))
+    w = Window.partitionBy()  # over one row per class
+    top = F.max(F.struct("n", F.col(y).alias("y"))).over(w)["y"]
+    return c.select(y, "n", F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"), (F.col(y) == top).alias("majority"))
 
 
 def auc_ovr(df: DataFrame, y: str = "y", probs=PROBS) -> DataFrame:

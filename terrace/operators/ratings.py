@@ -50,6 +50,8 @@ RATED = [
     "home_pi_home_post", "home_pi_away_post", "away_pi_home_post", "away_pi_away_post",
 ]
 RATED_DDL = ", ".join(f"{c} double" for c in RATED)
+# One folded match costs about this many plain rows of memory and time.
+FOLD_WEIGHT = 8
 STATE = ["team", "elo", "attack", "defense", "pi_home", "pi_away", "games", "last_day", "opponents"]
 STATE_DDL = (
     "team string, elo double, attack double, defense double, pi_home double, pi_away double, "
@@ -179,16 +181,16 @@ def rate_matches(matches: DataFrame, params: RatingParams | None = None, max_row
     """(match_id, pre-match and post-match ratings) for every match."""
     params = params or RatingParams()
     inputs = rating_inputs(matches)
-    if hot_keys(inputs, ["component"], max_rows) is None:
+    if hot_keys(inputs, ["component"], max_rows, FOLD_WEIGHT) is None:
         return _fold_once(inputs, params)
-    return _fold_chunks(inputs, params, max_rows or max_rows_per_group(matches.sparkSession))
+    return _fold_chunks(inputs, params, max_rows or max_rows_per_group(matches.sparkSession) // FOLD_WEIGHT)
 
 
 def rate_grid(matches: DataFrame, grid: list[RatingParams]) -> DataFrame:
     """The same fold under several constant settings, one task per (setting, component)."""
     inputs = rating_inputs(matches)
     settings = F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("setting")
-    if hot_keys(inputs, ["component"]) is not None:
+    if hot_keys(inputs, ["component"], weight=FOLD_WEIGHT) is not None:
         done = [rate_matches(matches, p).withColumn("setting", F.lit(i)) for i, p in enumerate(grid)]
         out = done[0]
         for part in done[1:]:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
 from terrace.functions.goals import CDF_START, OUTCOME_CELLS, score_cdfs, score_grid
+from terrace.scale import hot_keys
 
 SIM_BLOCK = 1000
+SALTS = 64
 
 
 def draw_hash(seed: int, *keys: Column | str) -> Column:
@@ -69,14 +71,21 @@ def _first_cell(outcome: Column) -> Column:
     return F.when(outcome == 1, CDF_START[1]).when(outcome == 0, CDF_START[0]).otherwise(CDF_START[-1])
 
 
-def expand(fixtures: DataFrame, keys: list[str], n_sims: int, seed: int = 42, block: int = SIM_BLOCK) -> DataFrame:
+def expand(
+    fixtures: DataFrame, keys: list[str], n_sims: int, seed: int = 42, block: int = SIM_BLOCK, max_rows: int | None = None
+) -> DataFrame:
     """One row per (fixture, simulation) with the sampled outcome and scoreline.
 
-    Bare fixtures are shuffled by (keys, block); the cumulative tables are built
-    after that, and a draw finds its cell by counting the table entries below it.
+    Bare fixtures are shuffled by (keys, block), so the simulated tables need no
+    second shuffle.  When a league is too large for that they are salted by fixture
+    instead and the tables are combined map-side first.  Either way the cumulative
+    tables are built after the shuffle, and a draw finds its cell by counting the table entries below it.
     """
     blocks = fixtures.select(*keys, "match_id", "home_team", "away_team", "p_home", "p_draw", "exp_home", "exp_away")
-    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block)))).repartition(*keys, "block")
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block))))
+    hot = hot_keys(fixtures, keys, max_rows, weight=min(block, n_sims)) is not None
+    salt = [F.pmod(F.xxhash64("match_id"), F.lit(SALTS))] if hot else []
+    blocks = blocks.repartition(*keys, "block", *salt)
     blocks = with_conditional_cdf(blocks).drop("exp_home", "exp_away")
     first = F.col("block") * block
     drawn = blocks.withColumn("sim", F.explode(F.sequence(first, F.least(first + block, F.lit(n_sims)) - 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.scale import number_rows
@@ -60,9 +60,11 @@ def class_weight(df: DataFrame, y: str = "y", recency: str | None = None) -> Dat
     """
     r = F.col(recency) if recency else F.lit(1.0)
     per = df.groupBy(F.col(y).alias("_c")).agg(F.count("*").alias("_m"), F.sum(r).alias("_s"))
-    tot = per.agg(F.sum("_m").alias("n"), F.count("*").alias("k"))
-    n, k = tot.select("n").scalar(), tot.select("k").scalar()
+    everything = Window.partitionBy()  # over one row per class
+    per = per.withColumn("_each", F.sum("_m").over(everything) / F.count("*").over(everything))
     out = df.join(per, F.col(y) == F.col("_c"))
-    balanced = n / (k * F.col("_m"))
-    weight = F.when(F.col("_s") > 0, balanced * r * (n / k) / (balanced * F.col("_s"))).otherwise(0.0) if recency else balanced
-    return out.withColumn("sample_weight", weight).drop("_c", "_m", "_s")
+    if recency:
+        weight = F.when(F.col("_s") > 0, r * F.col("_each") / F.col("_s")).otherwise(0.0)
+    else:
+        weight = F.col("_each") / F.col("_m")
+    return out.withColumn("sample_weight", weight).drop("_c", "_m", "_s", "_each")

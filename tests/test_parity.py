@@ -203,6 +203,8 @@ def test_simulated_tables_keep_their_invariants(spark):
     assert abs(share - 0.5) < 0.03
     same = scenario.expand(f, ["lg"], 300, block=1000)
     assert ex.select("match_id", "sim", "outcome", "hg", "ag").exceptAll(same.select("match_id", "sim", "outcome", "hg", "ag")).isEmpty()
+    salted = scenario.simulated_tables(scenario.expand(f, ["lg"], 300, max_rows=1), ["lg"])
+    assert salted.exceptAll(scenario.simulated_tables(same, ["lg"])).isEmpty()
     exact = {r.team: r.expected_points for r in scenario.expected_points(f, ["lg"]).collect()}
     mean = {r.team: r.expected_points for r in scenario.summary(pos, ["lg"]).collect()}
     assert all(abs(exact[t] - mean[t]) < 0.6 for t in teams)
