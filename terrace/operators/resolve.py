@@ -27,8 +27,11 @@ def _clubs(candidates: DataFrame, drop_tokens: str) -> DataFrame:
 
 
 def manual_hits(names: DataFrame, clubs: DataFrame, manual: DataFrame) -> DataFrame:
-    """(block, team, manual_cid): mapped names; the id is null when the target is not in the block."""
-    mapped = names.join(manual, "team")
+    """(block, team, manual_cid): mapped names; the id is null when the target is not in the block.
+
+    ``manual`` is (team, target), or (block, team, target) when names repeat across blocks.
+    """
+    mapped = names.join(manual, ["block", "team"] if "block" in manual.columns else ["team"])
     target = clubs.groupBy("block", F.col("name").alias("target")).agg(F.min("cid").alias("manual_cid"))
     return mapped.join(target, ["block", "target"], "left").select("block", "team", "manual_cid")
 
@@ -153,3 +156,36 @@ def alias_lookup(external: DataFrame, known: DataFrame, aliases: DataFrame, name
         tried.append(F.coalesce(f"_e{i}", f"_a{i}"))
     extra = [f"_{k}{i}" for i in range(len(name_cols)) for k in "efa"]
     return out.withColumn("team", F.coalesce(*tried)).drop(*extra)
+
+
+def club_mapping(teams: DataFrame, clubs: DataFrame, similarity: bool = True) -> DataFrame:
+    """(team, league, cid, tier) of our teams against the value source's clubs.
+
+    ``teams`` is (team, league), ``clubs`` (club_id, name, domestic_competition_id).
+    Candidates come from the league's own competition; the hand tables apply.
+    """
+    from terrace import name_maps
+
+    spark = teams.sparkSession
+    comps = V.literal_table(spark, list(V.LEAGUE_VALUE_COMP.items()), ["league", "block"])
+    keyed = teams.join(comps, "league")
+    pool = clubs.select(F.col("domestic_competition_id").alias("block"), F.col("club_id").alias("cid"), "name")
+    hits = resolve_names(keyed, pool, name_maps.manual_clubs(spark), name_maps.absent_clubs(spark), similarity=similarity)
+    return keyed.join(hits, ["block", "team"]).select("team", "league", "cid", "tier")
+
+
+def rating_mapping(teams: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(team, league, country, norm_name) against the rating source's clubs of the country.
+
+    ``snapshots`` is (country, norm_name, ...).  A hand-mapped name that is missing
+    falls through to the exact and containment tiers.
+    """
+    from terrace import name_maps
+
+    spark = teams.sparkSession
+    countries = V.literal_table(spark, list(V.LEAGUE_RATING_COUNTRY.items()), ["league", "block"])
+    keyed = teams.join(countries, "league")
+    pool = snapshots.select(F.col("country").alias("block"), F.col("norm_name").alias("cid"), F.col("norm_name").alias("name")).distinct()
+    by_hand = name_maps.manual_ratings(spark).withColumn("target", normalize_name(F.col("target"), V.RATING_DROP_TOKENS))
+    hits = resolve_names(keyed, pool, by_hand, None, V.RATING_DROP_TOKENS, similarity=False, manual_falls_through=True)
+    return keyed.join(hits, ["block", "team"]).select("team", "league", F.col("block").alias("country"), F.col("cid").alias("norm_name"))

@@ -214,3 +214,28 @@ def test_rejected_rows_are_counted(spark):
     raw = spark.range(10)
     r = feeds.rejected_count(raw, raw.filter("id < 7")).first()
     assert (r.read, r.kept, r.rejected) == (10, 7, 3)
+
+
+def test_look_alike_clubs_stay_apart(spark):
+    teams = spark.createDataFrame(
+        [("Ath Madrid", "PD"), ("Real Madrid", "PD"), ("Verona", "SA"), ("Atletico-MG", "BSA"), ("Nowhere", "PL"), ("Odd", "ZZ")], "team string, league string"
+    )
+    clubs = spark.createDataFrame(
+        [
+            ("1", "Atlético de Madrid", "ES1"), ("2", "Real Madrid CF", "ES1"), ("3", "Hellas Verona", "IT1"), ("4", "Chievo Verona", "IT1"),
+            ("5", "Clube Atlético Mineiro", "BRA1"), ("6", "Clube Atlético Paranaense", "BRA1"), ("7", "Arsenal FC", "GB1"),
+        ],
+        "club_id string, name string, domestic_competition_id string",
+    )
+    got = {r.team: r.cid for r in resolve.club_mapping(teams, clubs).collect()}
+    assert got == {"Ath Madrid": "1", "Real Madrid": "2", "Verona": "3", "Atletico-MG": "5", "Nowhere": None}
+
+
+def test_rating_names_per_country(spark):
+    teams = spark.createDataFrame([("Ath Madrid", "PD"), ("Hearts", "SCO1"), ("Bayern Munich", "BL1"), ("Ghost", "PL")], "team string, league string")
+    snaps = spark.createDataFrame(
+        [("ESP", "atletico", "2020-01", 1.0), ("ESP", "realmadrid", "2020-01", 1.0), ("SCO", "hearts", "2020-01", 1.0), ("GER", "bayern", "2020-01", 1.0), ("ENG", "arsenal", "2020-01", 1.0)],
+        "country string, norm_name string, month string, elo double",
+    )
+    got = {r.team: r.norm_name for r in resolve.rating_mapping(teams, snaps).collect()}
+    assert got == {"Ath Madrid": "atletico", "Hearts": "hearts", "Bayern Munich": "bayern", "Ghost": None}
