@@ -94,7 +94,7 @@ def match_features(matches: DataFrame, params: ratings.RatingParams | None = Non
     home_club_rating, home_ga ... and their away twins).
     """
     params = params or ratings.RatingParams()
-    base = windows.pair_windows(windows.league_baseline(matches)).drop("pair_a", "pair_b")
+    base = windows.pair_windows(matches).drop("pair_a", "pair_b")
     df = base.join(side_by_side(team_form(matches)), "match_id").join(ratings.rate_matches(matches, params), "match_id")
     df = ratings.dixon_coles_columns(df, params.dc_rho)
     df = ratings.pi_columns(df).withColumns(

@@ -49,7 +49,9 @@ RATED = [
     "home_dc_attack_post", "home_dc_defense_post", "away_dc_attack_post", "away_dc_defense_post",
     "home_pi_home_post", "home_pi_away_post", "away_pi_home_post", "away_pi_away_post",
 ]
-RATED_DDL = ", ".join(f"{c} double" for c in RATED)
+# The baselines a match was rated with travel along, so nothing downstream computes them again.
+EMITTED = RATED + BASES
+EMITTED_DDL = ", ".join(f"{c} double" for c in EMITTED)
 # One folded match costs about this many plain rows of memory and time.
 FOLD_WEIGHT = 8
 STATE = ["team", "elo", "attack", "defense", "pi_home", "pi_away", "games", "last_day", "opponents"]
@@ -117,6 +119,7 @@ def fold_frame(pdf: pd.DataFrame, state: dict, p: RatingParams) -> pd.DataFrame:
     cols = [days, *[pdf[c] for c in ("home_team", "away_team", "home_score", "away_score", *BASES)]]
     rows = [rate_one(state, *vals, p) for vals in zip(*[c.tolist() for c in cols])]
     out = pd.DataFrame(rows, columns=RATED, dtype="float64")
+    out[BASES] = pdf[BASES].to_numpy()
     out.insert(0, "match_id", pdf["match_id"].to_numpy())
     return out
 
@@ -144,7 +147,7 @@ def _fold_once(inputs: DataFrame, params: RatingParams) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fold_frame(pdf, {}, params)
 
-    return inputs.groupBy("component").applyInPandas(run, f"match_id long, {RATED_DDL}")
+    return inputs.groupBy("component").applyInPandas(run, f"match_id long, {EMITTED_DDL}")
 
 
 def _fold_chunks(inputs: DataFrame, params: RatingParams, limit: int) -> DataFrame:
@@ -155,22 +158,22 @@ def _fold_chunks(inputs: DataFrame, params: RatingParams, limit: int) -> DataFra
     last = chunked.agg(F.max("_chunk").alias("m")).first()["m"]
     spark = inputs.sparkSession
     state = spark.createDataFrame([], f"component string, {STATE_DDL}")
-    schema = f"component string, match_id long, {RATED_DDL}, {STATE_DDL}"
+    schema = f"component string, match_id long, {EMITTED_DDL}, {STATE_DDL}"
 
     def run(key: tuple, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         teams = frame_to_state(held)
-        rated = fold_frame(rows, teams, params) if len(rows) else pd.DataFrame(columns=["match_id", *RATED])
+        rated = fold_frame(rows, teams, params) if len(rows) else pd.DataFrame(columns=["match_id", *EMITTED])
         rated = rated.assign(team=None, opponents=[[] for _ in range(len(rated))])
         both = pd.concat([rated, state_to_frame(teams)], ignore_index=True)
         both["component"] = key[0]
-        return both[["component", "match_id", *RATED, *STATE]].astype({"match_id": "Int64"})
+        return both[["component", "match_id", *EMITTED, *STATE]].astype({"match_id": "Int64"})
 
     parts = []
     for chunk in range(last + 1):
         rows = chunked.filter(F.col("_chunk") == chunk).drop("_chunk", "_rn")
         done = checkpoint(rows.groupBy("component").cogroup(state.groupBy("component")).applyInPandas(run, schema))
         state = done.filter(F.col("team").isNotNull()).select("component", *STATE)
-        parts.append(done.filter(F.col("match_id").isNotNull()).select("match_id", *RATED))
+        parts.append(done.filter(F.col("match_id").isNotNull()).select("match_id", *EMITTED))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
@@ -178,7 +181,7 @@ def _fold_chunks(inputs: DataFrame, params: RatingParams, limit: int) -> DataFra
 
 
 def rate_matches(matches: DataFrame, params: RatingParams | None = None, max_rows: int | None = None) -> DataFrame:
-    """(match_id, pre-match and post-match ratings) for every match."""
+    """(match_id, pre-match and post-match ratings, baselines used) for every match."""
     params = params or RatingParams()
     inputs = rating_inputs(matches)
     if hot_keys(inputs, ["component"], max_rows, FOLD_WEIGHT) is None:
@@ -201,7 +204,7 @@ def rate_grid(matches: DataFrame, grid: list[RatingParams]) -> DataFrame:
         return fold_frame(pdf, {}, grid[int(key[0])]).assign(setting=key[0])
 
     return inputs.select("*", settings).groupBy("setting", "component").applyInPandas(
-        run, f"match_id long, {RATED_DDL}, setting int"
+        run, f"match_id long, {EMITTED_DDL}, setting int"
     )
 
 

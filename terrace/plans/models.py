@@ -105,7 +105,10 @@ def ml_parity_check(spark, sf_dir):
     return bayes.parity_report(rows.filter(~late), rows.filter(late), _PARITY)
 
 
-@query("ml_assemble")
+@query(
+    "ml_assemble",
+    with_ctes(MATCHES, select="SELECT match_id, result AS y, competition, CAST(95 AS INTEGER) AS width FROM matches WHERE competition NOT IN ('ELC')"),
+)
 def ml_assemble(spark, sf_dir):
     """The full ordered vector from the full feature pass."""
     f = features.match_features(derived.matches(spark, sf_dir))
@@ -114,12 +117,17 @@ def ml_assemble(spark, sf_dir):
     return v.select("match_id", "y", "competition", F.size(models.vector_to_array("features")).alias("width"))
 
 
-@query("ml_scale")
+@query(
+    "ml_scale",
+    with_ctes(
+        MATCHES, _PLAIN_SQL,
+        select="SELECT match_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in PLAIN) + " FROM plain",
+    ),
+)
 def ml_scale(spark, sf_dir):
     scaled, _ = models.scale(models.assemble(_plain(spark, sf_dir), PLAIN))
     arr = models.vector_to_array("scaled")
-    means = [F.round(F.avg(arr[i]), 6).alias(f"mean_{c}") for i, c in enumerate(PLAIN)]
-    return scaled.agg(F.count("*").alias("n"), *means)
+    return scaled.select("match_id", *[F.round(arr[i], 6).alias(c) for i, c in enumerate(PLAIN)])
 
 
 def _scored(df):
