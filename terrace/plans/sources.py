@@ -8,6 +8,7 @@ from terrace import fixed_values as V
 from terrace.operators import feeds, match_rows, tables
 from terrace.plans.catalogue import query
 from terrace.plans.sql import APPEARANCES, LONG, MATCHES, RATINGS, VALUATIONS, probs, with_ctes
+from terrace.scale import checkpoint
 from terrace.sources import derived, headed_csv, match_feeds, pages, side_json
 
 _CORE = "match_id, match_date, home_team, away_team, home_score, away_score, result"
@@ -18,8 +19,12 @@ def _text(c):
 
 
 def _lines(df, file, body, header):
-    """(file, match_id, value): one header line per file and one line per match."""
-    rows = df.select(file.alias("file"), F.col("match_id"), body.alias("value"))
+    """(file, match_id, value): one header line per file and one line per match.
+
+    The rendered text is written out once, as real files would be.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpoint(df.select(file.alias("file"), F.col("match_id"), body.alias("value")).repartition(n))
     heads = rows.select("file").distinct().select("file", F.lit(None).cast("long").alias("match_id"), F.lit(header).alias("value"))
     return rows.unionByName(heads)
 

@@ -31,9 +31,10 @@ def competition_of(feed_code: Column) -> Column:
     return F.coalesce(F.try_element_at(table, feed_code), feed_code)
 
 
-def _stat_columns(from_feed: bool) -> dict[str, Column]:
-    get = lambda c: to_int(value(c)) if from_feed else F.lit(None).cast("int")
-    return {name: get(c) for name, c in V.STAT_COLUMNS.items()}
+def _stat_values() -> Column:
+    """The optional statistics of a row as one array, in the order of the fixed column table."""
+    names = F.array(*[F.lit(c) for c in V.STAT_COLUMNS.values()])
+    return F.transform(names, lambda c: to_int(F.coalesce(F.try_element_at(F.col("row"), c), F.lit(""))))
 
 
 def _records(df: DataFrame, fields: dict[str, Column], ok: Callable[[Column], Column]) -> DataFrame:
@@ -45,7 +46,7 @@ def _records(df: DataFrame, fields: dict[str, Column], ok: Callable[[Column], Co
     record = F.struct(*[c.alias(n) for n, c in fields.items()])
     carried = [c for c in df.columns if c not in (*KEYS, *fields)]
     kept = df.select(*carried, F.explode(F.filter(F.array(record), ok)).alias("_r"))
-    return kept.select(*carried, *[F.col(f"_r.{n}").alias(n) for n in fields if not n.startswith("_")])
+    return kept.select(*carried, *[F.col(f"_r.{n}").alias(n) for n in fields if n != "_keep"])
 
 
 def _canonical(df: DataFrame, day: Column, home: Column, away: Column, hs: Column, as_: Column, stats: bool, keep: Column) -> DataFrame:
@@ -56,7 +57,7 @@ def _canonical(df: DataFrame, day: Column, home: Column, away: Column, hs: Colum
         "home_score": hs,
         "away_score": as_,
         "competition": competition_of(F.col("feed_code")),
-        **_stat_columns(stats),
+        "_stats": _stat_values() if stats else F.lit(None).cast("array<int>"),
         "_keep": keep,
     }
 
@@ -64,7 +65,8 @@ def _canonical(df: DataFrame, day: Column, home: Column, away: Column, hs: Colum
         full = m["match_date"].isNotNull() & m["home_score"].isNotNull() & m["away_score"].isNotNull()
         return m["_keep"] & (m["home_team"] != "") & (m["away_team"] != "") & full
 
-    return with_outcome(_records(df, fields, ok))
+    out = with_outcome(_records(df, fields, ok))
+    return out.withColumns({n: F.get("_stats", F.lit(i)) for i, n in enumerate(V.STAT_COLUMNS)}).drop("_stats")
 
 
 def parse_mirror(rows: DataFrame) -> DataFrame:
@@ -142,8 +144,10 @@ def parse_odds(rows: DataFrame) -> DataFrame:
             odd = to_double(value(c))
             chosen[i] = F.when(whole, odd) if chosen[i] is None else chosen[i].when(whole, odd)
     y = F.when(value("FTR") == "H", 1).when(value("FTR") == "D", 0).when(value("FTR") == "A", -1)
-    fields = {"y": y, **devig(*chosen)}
-    return _records(rows, fields, lambda m: m["y"].isNotNull() & m["p_home"].isNotNull() & m["p_draw"].isNotNull() & m["p_away"].isNotNull())
+    fields = dict(zip(("y", "_oh", "_od", "_oa"), (y, *chosen)))
+    raw = _records(rows, fields, lambda m: m["y"].isNotNull() & m["_oh"].isNotNull() & m["_od"].isNotNull() & m["_oa"].isNotNull())
+    fair = raw.withColumns(devig(F.col("_oh"), F.col("_od"), F.col("_oa")))
+    return fair.dropna(subset=["p_home", "p_draw", "p_away"]).drop("_oh", "_od", "_oa")
 
 
 def parse_valuations(rows: DataFrame) -> DataFrame:
