@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import credentials, mixing, pieces, quality, token_groups
+from terrace.llm import bit_slices, credentials, kneser_ney, langid, mixing, paragraphs, pieces, quality, token_groups, warc
+from terrace.llm.common import checkpoint
 from terrace.llm.twins import TWINS
 
 #: Rate and seed of the registered merge-dropout.
@@ -35,6 +36,23 @@ def op1_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", (F.xxhash64("decoded") == F.col("key")).alias("lossless"))
 
 
+def _remainder(divisor: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text leaves 1; a null id counts as no remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == 1, F.lit(False))
+
+
+def op2_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", _remainder(5).alias("held_out"), "text")
+    model = kneser_ney.train(docs.filter("NOT held_out"), order=2)
+    scored = kneser_ney.scored(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), bit_slices.quantised(F.col("embedding")).alias("v"))
+    return bit_slices.top_k(vectors, vectors.filter("id % 100 = 0"), 10)
+
+
 def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.find_credentials(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
@@ -44,10 +62,33 @@ def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that occur again, kept or removed, with the document whose copy stays."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return paragraphs.repeated_passages(docs).select("doc_id", "keeper_doc_id", "removed", "start", "end", "paragraphs")
+
+
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_groups.ngram_jaccard_components(_documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    manifest = warc.write_archives(pages)
+    captures = warc.assemble(checkpoint(warc.read_records(manifest, with_payload=False)))
+    fields = F.col("metadata.fields")
+    return captures.select(
+        fields["page-id"].cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"),
+        fields["refers-to-page"].cast("long").alias("refers_to"), 
+    )
+
+
+def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text", _remainder(3).alias("held_out"))
+    model = langid.train(docs.filter("NOT held_out"))
+    return langid.identified(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -59,6 +100,10 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_piece_coding, op4_credential_links, op6_token_group_join, op9_adaptive_quality, op10_raked_mix)
-}
+    f.__name__: f
+    for f in (
+        op1_piece_coding, op2_kneser_ney_score, op3_bit_sliced_top_k, op4_credential_links, op5_paragraph_repeats,
+        op6_token_group_join, op7_warc_transactions, op8_word_first_language, op9_adaptive_quality, op10_raked_mix,
+    )
+}
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}
