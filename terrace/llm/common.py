@@ -9,17 +9,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.scale import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["WHITE", "checkpoint", "chunks", "mix", "rolling", "shared_path", "text_key", "word_hashes"]
+__all__ = ["WHITE", "checkpoint", "chunks", "keyed_texts", "mix", "rolling", "shared_path", "small_side", "text_key", "texts_of", "word_hashes"]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a regular expression class body.
 WHITE = r"\x20\x09-\x0D"
 #: Most words a worker remembers the hash of; the cache starts anew beyond it.
 CACHED_WORDS = 400_000
+#: Rows of a checked table up to which it is sent to every task; larger ones are joined by a shuffle.
+MAX_SENT_ROWS = 300_000
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -36,6 +38,32 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.isNull(), text)
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """``table``, checkpointed, and marked for broadcast where its row count is below MAX_SENT_ROWS."""
+    table = checkpoint(table)
+    return F.broadcast(table) if table.count() <= MAX_SENT_ROWS else table
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text) with the text as UTF-8 bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+
+
+def texts_of(keyed: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """(cls, text, *more): the text of each row of ``wanted`` (cls, want_id, want_key, *more), one row each.
+
+    Only the wanted texts are shuffled, if any; rows of ``keyed`` that are equal in id
+    and text count once.
+    """
+    wanted = small_side(wanted)
+    same = (F.col("text_key") == F.col("want_key")) & F.col("doc_id").eqNullSafe(F.col("want_id"))
+    texts = keyed.join(wanted, same).select("cls", "text", *more)
+    repeated = keyed.select("doc_id", "text_key").join(wanted, same).groupBy("cls", *more).agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return texts
+    return texts.groupBy("cls", *more).agg(F.first("text").alias("text")).select("cls", "text", *more)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, text_key
+from terrace.llm.common import checkpoint, small_side, text_key
 
 # Kind -> (pattern, group whose length counts, least length).
 STRONG = {
@@ -132,7 +132,7 @@ def find_credentials(docs: DataFrame) -> DataFrame:
     links = linked.groupBy(F.col("text_key").alias("__link_key")).agg(F.collect_list(span).alias("__links"))
     # rows without a key meet none; a key of their own spreads them
     side = F.coalesce("__key", F.xxhash64(F.monotonically_increasing_id(), F.lit("none")))
-    joined = scanned.withColumn("__key", side).join(checkpoint(links), F.col("__key") == F.col("__link_key"), "left")
+    joined = scanned.withColumn("__key", side).join(small_side(links), F.col("__key") == F.col("__link_key"), "left")
     clear = F.filter(F.coalesce("__links", F.array().cast("array<struct<kind:string,start:int,end:int>>")), _clear_of_strong)
     return joined.select(*keep, _ordered(F.col("strong")).alias("base_spans"), _ordered(F.concat("strong", clear)).alias("spans"))
 

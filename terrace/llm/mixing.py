@@ -13,10 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WHITE, checkpoint
-
-#: Cells up to this number are sent to every task; more are joined by a shuffle.
-MAX_SENT_CELLS = 50_000
+from terrace.llm.common import WHITE, checkpoint, small_side
 
 
 def word_count(text: Column) -> Column:
@@ -126,9 +123,7 @@ def mixed(docs: DataFrame, powers: Mapping[str, float], budget: float, seed: int
     cells = checkpoint(counted.groupBy(*names).agg(F.sum("__n").alias("tokens")))
     targets = {n: checkpoint(tempered_targets(cells, n, powers[d])) for n, d in zip(names, dims)}
     rates = inclusion(rake(cells, targets), budget).select(*names, F.col("probability").alias("__p"))
-    rates = checkpoint(rates)
-    if rates.count() <= MAX_SENT_CELLS:
-        rates = F.broadcast(rates)
+    rates = small_side(rates)
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     p = F.when(F.col("__n") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(0.0)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]

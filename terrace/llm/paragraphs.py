@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, mix, rolling, text_key, word_hashes
+from terrace.llm.common import checkpoint, chunks, keyed_texts, mix, rolling, small_side, text_key, texts_of, word_hashes
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import verified
 
@@ -153,10 +153,10 @@ def line_links(keyed: DataFrame, width: int, percent: int) -> DataFrame:
     wanted = open_.select("unit").distinct().join(lines.select("unit", "at"), "unit").select(
         F.col("unit").alias("cls"), F.col("at.doc_id").alias("want_id"), F.col("at.text_key").alias("want_key"), "at.start", "at.end"
     )
-    texts = keyed.join(wanted, (F.col("text_key") == F.col("want_key")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
+    texts = texts_of(keyed, wanted, "start", "end")
     cut = F.substring(F.col("text").cast("string"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     sets = texts.select("cls", cut.cast("binary").alias("line")).mapInArrow(_shingles(width), "cls long, data binary")
-    sets = checkpoint(sets.dropDuplicates(["cls"]))
+    sets = checkpoint(sets)
     found = []
     while True:
         sized = open_.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("lead")).filter("n > 1")
@@ -186,13 +186,13 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     after all others; rows equal in id and text count as one document; an
     empty table gives an empty result; further columns are ignored.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    keyed = keyed_texts(docs)
     roots = checkpoint(connected_components(line_links(keyed, width, percent)))
     units = keyed.mapInArrow(_units(0, width), ROWS)
     again = units.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
     linked = roots.select(F.col("node").alias("unit"), "root")
     wanted = again.join(linked, "unit", "full").select("unit", F.coalesce("root", "unit").alias("component"))
-    rows = checkpoint(units.join(checkpoint(wanted), "unit").drop("unit").distinct())
+    rows = checkpoint(units.join(small_side(wanted), "unit").drop("unit").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start", "end")
     keepers = rows.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return rows.join(keepers, "component").select(

@@ -11,8 +11,8 @@ Steps, all of them Spark jobs over whole tables:
 2. *Signature tokens.*  Two sets that reach the threshold share at least ``k`` of
    their first ``n - ceil(t*n) + k`` tokens in any common order.  The order puts
    the most widespread tokens last, so shared passages rarely meet.
-3. *Groups.*  Every token names its smallest class as leader; classes verified
-   against a leader form groups (connected components of those links).
+3. *Groups.*  Every token that many classes share names its smallest one as leader;
+   classes verified against a leader form groups (connected components of those links).
 4. *Matrix.*  (token, group) pairs of the signature tokens, distinct.  For every
    class and every other, larger group: the number of common tokens bounds the
    overlap; fewer than ``k``, or sizes too far apart, closes the group.
@@ -25,7 +25,7 @@ The result is exact up to 64-bit hash collisions of shingles and of sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, rolling, text_key, word_hashes
+from terrace.llm.common import checkpoint, chunks, keyed_texts, rolling, text_key, texts_of, word_hashes
 from terrace.llm.components import connected_components
 
 #: Most tokens in the list of widespread tokens: 8 MB, the bound of what is sent to every task.
 WIDESPREAD_TOKENS = 1_000_000
 #: Documents a token must occur in to count as widespread.
 WIDESPREAD_DOCS = 8
-#: Groups up to this size are opened as pairs; larger ones in blocks.
-SMALL_GROUP = 16
+#: Groups up to this size are opened as pairs, larger ones in blocks; tokens of more classes than this name leaders.
+SMALL_GROUP = 8
 #: Rows of a block of members or of queries of a large group.
 BLOCK = 256
 
@@ -160,14 +160,14 @@ def _open_block(percent: int):
     """For each query of a block, one member of the opened block that it links to."""
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        ids = members.column("cls").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in members.column("data").to_pylist()]
+        ids = members.column("member").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
         found = []
         if sets:
             sizes = np.array([len(s) for s in sets])
             tokens, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
             union = np.unique(tokens)
-            for q, data in zip(queries.column("cls").to_pylist(), queries.column("data").to_pylist()):
+            for q, data in zip(queries.column("query").to_pylist(), queries.column("q_tokens").to_pylist()):
                 own = np.frombuffer(data, np.uint64)
                 at = np.minimum(np.searchsorted(own, union), len(own) - 1)
                 if 100 * int((own[at] == union).sum()) < percent * len(own):
@@ -187,14 +187,19 @@ def _fits(n, least, most, percent: int):
     return (100 * n >= percent * least) & (100 * most >= percent * n)
 
 
-def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.explode(F.array(a, b)).alias("cls")).distinct()
+
+
+def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect exactly the classes that links connect.
 
     ``postings`` (token, cls, n): signature tokens that two or more classes share,
-    checkpointed; ``sets`` (cls, data): their whole sets.
+    checkpointed; ``sets_of``: the whole sets (cls, data) of a table of classes.
     """
     common = shared_tokens(percent)
-    leaders = postings.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"))
+    leaders = postings.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("classes"))
+    leaders = leaders.filter(F.col("classes") > SMALL_GROUP).drop("classes")
     pairs = (
         postings.join(leaders, "token")
         .filter(F.col("cls") != F.col("lead.cls"))
@@ -203,7 +208,8 @@ def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         .agg(F.lit(1).alias("one"))
         .drop("one")
     )
-    near = checkpoint(verified(pairs, sets, percent))
+    pairs = checkpoint(pairs)
+    near = checkpoint(verified(pairs, sets_of(_ends(pairs, "a", "b")), percent))
     group_of = checkpoint(connected_components(near))
     sizes = group_of.groupBy("root").agg(F.count("*").alias("members"))
     grouped = group_of.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("grp"), "members")
@@ -224,32 +230,26 @@ def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     )
     opened = checkpoint(overlaps.select(F.col("cls").alias("query"), "to", "to_members"))
     members = grouped.select(F.col("grp").alias("to"), F.col("cls").alias("member"))
-    small = (
-        opened.filter(f"to_members <= {SMALL_GROUP}")
-        .join(members, "to", "left")
-        .select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b"))
-    )
-    found = [near, verified(small, sets, percent)]
-    large = opened.filter(f"to_members > {SMALL_GROUP}")
+    wanted = opened.join(members, "to", "left").select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b"), "to_members")
+    sets = sets_of(_ends(wanted, "a", "b"))
+    found = [near, verified(wanted.filter(F.col("to_members") <= SMALL_GROUP).drop("to_members"), sets, percent)]
+    large = opened.filter(F.col("to_members") > SMALL_GROUP)
     counts = large.groupBy("to", "to_members").agg(F.count("*").alias("queries"))
     counts = counts.select(
         "to", F.ceil(F.col("to_members") / BLOCK).cast("int").alias("mblocks"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("qblocks")
     )
 
-    def dealt(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
-        return (
-            rows.join(counts, "to")
-            .join(sets, "cls")
-            .select(
-                "to", "cls", "data", F.pmod(F.xxhash64("cls"), F.col(own)).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(name)
-            )
-        )
+    def dealt(rows: DataFrame, own: str, other: str, names: list[str]) -> DataFrame:
+        block = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")
+        held = rows.join(counts, "to").join(sets, "cls").withColumn("block", block)
+        held = held.withColumn("against", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return held.select(*[F.col(c).alias(n) for c, n in zip(("to", "block", "against", "cls", "data"), names)])
 
     if not large.isEmpty():
-        left = dealt(members.withColumnRenamed("member", "cls"), "mblocks", "qblocks", "q")
-        right = dealt(large.select("to", F.col("query").alias("cls")), "qblocks", "mblocks", "m")
-        keys = ("to", "m", "q")
-        found.append(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_open_block(percent), "a long, b long"))
+        left = dealt(members.withColumnRenamed("member", "cls"), "mblocks", "qblocks", ["m_to", "m_block", "m_query", "member", "tokens"])
+        right = dealt(large.select("to", F.col("query").alias("cls")), "qblocks", "mblocks", ["q_to", "q_block", "q_member", "query", "q_tokens"])
+        grouped = left.groupBy("m_to", "m_block", "m_query").cogroup(right.groupBy("q_to", "q_member", "q_block"))
+        found.append(grouped.applyInArrow(_open_block(percent), "a long, b long"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -260,23 +260,25 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in 1..100")
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    widespread = spark.sparkContext.broadcast(widespread_tokens(keyed.select("text"), width))
+    keyed = keyed_texts(docs)
+    widespread = docs.sparkSession.sparkContext.broadcast(widespread_tokens(keyed.select("text"), width))
     schema = "doc_id long, text_key long, cls long, n long, tokens array<long>"
     rows = checkpoint(keyed.mapInArrow(_signatures(width, percent, widespread), schema))
-    of_class = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
-    )
-    postings = of_class.select(F.explode("tokens").alias("token"), "cls", "n")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    of_class = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    of_class = checkpoint(of_class)
+    postings = of_class.select(F.explode("tokens").alias("token"), "cls", F.col("n").cast("int").alias("n"))
     shared = postings.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1").select("token")
     postings = checkpoint(postings.join(shared, "token"))
-    wanted = of_class.select("cls", "one.doc_id", "one.text_key").join(postings.select("cls").distinct(), "cls")
-    wanted = wanted.select("cls", F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_key"))
-    texts = keyed.join(wanted, (F.col("text_key") == F.col("want_key")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
-    sets = texts.select("cls", "text").mapInArrow(_class_sets(width), "cls long, data binary").dropDuplicates(["cls"])
-    sets = checkpoint(sets)
-    return rows.drop("tokens"), connected_components(class_links(postings, sets, percent))
+    # fewer shared tokens than any link has: no partner
+    enough = postings.groupBy("cls").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= shared_tokens(percent)).select("cls")
+    postings = checkpoint(postings.join(enough, "cls"))
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = of_class.join(classes, "cls").select("cls", F.col("one.doc_id").alias("want_id"), F.col("one.text_key").alias("want_key"))
+        return checkpoint(texts_of(keyed, wanted).mapInArrow(_class_sets(width), "cls long, data binary"))
+
+    return rows.drop("tokens"), connected_components(class_links(postings, sets_of, percent))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

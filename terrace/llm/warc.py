@@ -20,14 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, filesystem, make_folder, put_file, shared_path
+from terrace.llm.common import checkpoint, filesystem, make_folder, put_file, shared_path, small_side
 
 #: Payloads below this many bytes are always stored in full.
 LEAST_REVISIT = 1000
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
-#: Repeated payloads up to this number are sent to every task; more are joined by a shuffle.
-MAX_SENT_OWNERS = 50_000
 MANIFEST = "archive string, records long"
 RECORDS = (
     "archive string, type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, "
@@ -45,11 +43,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     p = p.withColumn("digest", F.sha1("payload"))
     large = p.filter(F.octet_length("payload") >= LEAST_REVISIT)
     owners = large.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1 AND owner IS NOT NULL").drop("n")
-    owners = checkpoint(owners)
-    if owners.count() <= MAX_SENT_OWNERS:
-        owners = F.broadcast(owners)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    return p.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return p.join(small_side(owners), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def _record_id(page_id: int | None, digest: str, kind: str) -> str:
