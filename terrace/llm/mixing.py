@@ -3,14 +3,14 @@
 Token weights of the (source, language, topic) cells are raked until each margin
 has its target share; documents are then sampled by the calibrated probability of
 their cell.  Documents are aggregated to cells before anything iterates, so the
-rounds run over a table as large as the number of cells, as group-by sums and joins.
+rounds run over a table as large as the number of cells, as sums over its margins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import WHITE, checkpoint, small_side
@@ -40,36 +40,43 @@ def _label(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), c.cast("string")))
 
 
-def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
-    """(dim, target): shares of the dimension's values, raised to ``power`` and made to add to 1."""
-    shares = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).filter("t > 0").select(dim, F.pow("t", F.lit(power)).alias("p"))
-    total = shares.agg(F.sum("p").alias("all")).first()["all"]
-    return shares.select(dim, (F.col("p") / F.lit(total or 1.0)).alias("target"))
+def with_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """``cells`` with target_<dim> from tables (dim, target); a value without a target gets 0."""
+    for dim, table in targets.items():
+        cells = cells.join(table.select(dim, F.col("target").alias(f"target_{dim}")), dim, "left").fillna(0.0, [f"target_{dim}"])
+    return cells
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``: shares that meet every target margin within ``tolerance``.
+def with_tempered_targets(cells: DataFrame, powers: Mapping[str, float]) -> DataFrame:
+    """``cells`` with target_<dim>: the share of the cell's value, raised to a power and made to add to 1 over the values."""
+    held = cells.select("*", *[F.sum("tokens").over(Window.partitionBy(d)).cast("double").alias(f"t_{d}") for d in powers])
+    raised = {d: F.when(F.col(f"t_{d}") > 0, F.pow(F.col(f"t_{d}"), F.lit(p))).otherwise(0.0) for d, p in powers.items()}
+    held = checkpoint(held)
+    # a value's cells hold all its tokens, so their shares of it add to 1
+    part = {d: F.when(F.col(f"t_{d}") > 0, raised[d] * F.col("tokens") / F.col(f"t_{d}")) for d in powers}
+    sums = held.agg(*[F.sum(x).alias(d) for d, x in part.items()]).first()
+    return held.select(*cells.columns, *[(raised[d] / F.lit(sums[d] or 1.0)).alias(f"target_{d}") for d in powers])
+
+
+def rake(cells: DataFrame, dims: list[str], rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
+    """``cells`` (dims, tokens, target_<dim>) with ``weight``: shares that meet every target margin within ``tolerance``.
 
     Each round scales the weights dimension by dimension and is checkpointed; it
-    ends when no margin was off by more than ``tolerance`` of its target.  Values
-    without a target get weight 0, as do cells without tokens.  Margins that no
+    ends when no margin was off by more than ``tolerance`` of its target.  Cells
+    with a target of 0 get weight 0, as do cells without tokens.  Margins that no
     weights can meet are met as nearly as the last round came.
     """
     total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for _ in range(rounds):
-        off = []
-        for dim, target in targets.items():
-            sums = now.groupBy(dim).agg(F.sum("weight").alias("__sum"))
-            scale = sums.join(target, dim, "left").select(
-                dim, F.when(F.col("__sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("__sum")).otherwise(0.0).alias(f"__by_{dim}")
-            )
-            now = now.join(scale, dim).withColumn("weight", F.col("weight") * F.col(f"__by_{dim}"))
-            off.append(F.max(F.when((F.col("weight") > 0), F.abs(F.col(f"__by_{dim}") - 1))))
+        for dim in dims:
+            held = F.sum("weight").over(Window.partitionBy(dim))
+            now = now.withColumn(f"by_{dim}", F.when(held > 0, F.col(f"target_{dim}") / held).otherwise(0.0))
+            now = now.withColumn("weight", F.col("weight") * F.col(f"by_{dim}"))
         now = checkpoint(now)
-        worst = [x or 0.0 for x in now.agg(*[o.alias(f"o{i}") for i, o in enumerate(off)]).first()]
-        now = now.drop(*[f"__by_{d}" for d in targets])
-        if max(worst) <= tolerance:
+        off = now.agg(*[F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"by_{d}") - 1))).alias(d) for d in dims]).first()
+        now = now.drop(*[f"by_{d}" for d in dims])
+        if max((x or 0.0) for x in off) <= tolerance:
             break
     return now
 
@@ -121,8 +128,8 @@ def mixed(docs: DataFrame, powers: Mapping[str, float], budget: float, seed: int
     counted = docs.select("*", F.inline(F.array(facts)))
     names = [f"__{d}" for d in dims]
     cells = checkpoint(counted.groupBy(*names).agg(F.sum("__n").alias("tokens")))
-    targets = {n: checkpoint(tempered_targets(cells, n, powers[d])) for n, d in zip(names, dims)}
-    rates = inclusion(rake(cells, targets), budget).select(*names, F.col("probability").alias("__p"))
+    aimed = with_tempered_targets(cells, {n: powers[d] for n, d in zip(names, dims)})
+    rates = inclusion(rake(aimed, names), budget).select(*names, F.col("probability").alias("__p"))
     rates = small_side(rates)
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     p = F.when(F.col("__n") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(0.0)

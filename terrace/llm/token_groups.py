@@ -12,7 +12,7 @@ Steps, all of them Spark jobs over whole tables:
    their first ``n - ceil(t*n) + k`` tokens in any common order.  The order puts
    the most widespread tokens last, so shared passages rarely meet.
 3. *Groups.*  Every token that many classes share names its smallest one as leader;
-   classes verified against a leader form groups (connected components of those links).
+   the classes verified against a leader form its group.
 4. *Matrix.*  (token, group) pairs of the signature tokens, distinct.  For every
    class and every other, larger group: the number of common tokens bounds the
    overlap; fewer than ``k``, or sizes too far apart, closes the group.
@@ -210,9 +210,12 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     )
     pairs = checkpoint(pairs)
     near = checkpoint(verified(pairs, sets_of(_ends(pairs, "a", "b")), percent))
-    group_of = checkpoint(connected_components(near))
-    sizes = group_of.groupBy("root").agg(F.count("*").alias("members"))
-    grouped = group_of.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("grp"), "members")
+    # every member of a group is linked to the class that names it
+    group_of = near.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("grp"))
+    heads = near.select(F.col("b").alias("cls")).distinct().join(group_of, "cls", "left_anti").select("cls", F.col("cls").alias("grp"))
+    group_of = checkpoint(group_of.unionByName(heads))
+    sizes = group_of.groupBy("grp").agg(F.count("*").alias("members"))
+    grouped = checkpoint(group_of.join(sizes, "grp"))
     held = postings.join(grouped, "cls", "left").select(
         "token", "cls", "n", F.coalesce("grp", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")
     )
