@@ -6,14 +6,14 @@ set, so that a passage pasted into the middle of other text is cut the same
 way wherever it stands.  Equal paragraphs meet by their hash.  Distinct lines
 are banded by MinHash; the number of bands is tuned for recall at the similarity
 asked for; lines that collide are verified by the exact Jaccard similarity of their
-word shingles.  Verified links form components; the first occurrence of a
+word shingles; where a bucket is large, candidates come from the rarest shingles of
+its lines instead of from all pairs.  Verified links form components; the first occurrence of a
 component stays and the others are removals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import checkpoint, chunks, keyed_texts, mix, rolling, small_side, text_key, texts_of, word_hashes
 from terrace.llm.components import connected_components
-from terrace.llm.token_groups import verified
+from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
 
 #: Words of a paragraph at least; shorter ones are too common to mean anything.
 LEAST_WORDS = 16
@@ -31,7 +31,7 @@ LEAST_WORDS = 16
 RADIUS = 4
 #: Rows of a MinHash band, and the recall the bands are tuned for at the threshold itself.
 BAND_ROWS, RECALL = 2, 0.98
-#: Lines of a bucket up to which all its pairs are verified; larger ones go through rounds of leaders.
+#: Lines of a bucket up to which all its pairs are verified; those of larger ones are joined by their rarest shingles.
 SMALL_BUCKET = 8
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -157,21 +157,39 @@ def line_links(keyed: DataFrame, width: int, percent: int) -> DataFrame:
     cut = F.substring(F.col("text").cast("string"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     sets = texts.select("cls", cut.cast("binary").alias("line")).mapInArrow(_shingles(width), "cls long, data binary")
     sets = checkpoint(sets)
-    found = []
-    while True:
-        sized = open_.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("lead")).filter("n > 1")
-        here = open_.join(sized, "band")
-        small = here.filter(F.col("n") <= SMALL_BUCKET).select("band", "unit")
-        pairs = small.select("band", F.col("unit").alias("a")).join(small.select("band", F.col("unit").alias("b")), "band").filter("a > b")
-        found.append(checkpoint(verified(pairs.select("a", "b").distinct(), sets, percent)))
-        # larger buckets: all but those linked to the leader meet again without it
-        large = checkpoint(here.filter((F.col("n") > SMALL_BUCKET) & (F.col("unit") != F.col("lead"))))
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        led = checkpoint(verified(large.select(F.col("unit").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent))
-        found.append(led)
-        left = large.join(led, (F.col("unit") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti")
-        open_ = checkpoint(left.select("band", "unit"))
+    sizes = open_.groupBy("band").agg(F.count("*").alias("lines"))
+    here = open_.join(sizes, "band")
+    small = here.filter(F.col("lines") <= SMALL_BUCKET).select("band", "unit")
+    pairs = small.select("band", F.col("unit").alias("a")).join(small.select("band", F.col("unit").alias("b")), "band").filter("a > b")
+    near = checkpoint(verified(pairs.select("a", "b").distinct(), sets, percent))
+    large = here.filter(F.col("lines") > SMALL_BUCKET).select(F.col("unit").alias("cls")).distinct()
+    return near.unionByName(_links_of_large_buckets(sets.join(large, "cls"), percent))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("data").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        if len(sets):
+            owner = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            columns = [pa.array(np.concatenate(sets)), batch.column("cls").take(owner), pa.array(np.repeat(sizes, sizes).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n"])
+
+
+def _links_of_large_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the lines of large buckets, found exactly by their rarest shingles instead of by pairs."""
+    sets = checkpoint(sets)
+    tokens = sets.mapInArrow(_tokens, "token long, cls long, n int")
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = tokens.join(spread, "token", "left").withColumn(
+        "at", F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "token"))
+    )
+    common = shared_tokens(percent)
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + common
+    postings = ranked.filter((F.col("at") <= length) & (F.col("n") >= least_set(percent)) & F.col("df").isNotNull()).select("token", "cls", "n")
+    postings = checkpoint(postings)
+    enough = postings.groupBy("cls").agg(F.count("*").alias("c")).filter(F.col("c") >= common).select("cls")
+    return class_links(checkpoint(postings.join(enough, "cls")), lambda classes: checkpoint(sets.join(classes, "cls")), percent)
 
 
 def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
