@@ -11,8 +11,8 @@ Steps, all of them Spark jobs over whole tables:
 2. *Signature tokens.*  Two sets that reach the threshold share at least ``k`` of
    their first ``n - ceil(t*n) + k`` tokens in any common order.  The order puts
    the most widespread tokens last, so shared passages rarely meet.
-3. *Groups.*  Every token that many classes share names its smallest one as leader;
-   the classes verified against a leader form its group.
+3. *Groups.*  Every token that many classes share names a few of them as leaders; classes
+   verified against leaders form groups (connected components of those links).
 4. *Matrix.*  (token, group) pairs of the signature tokens, distinct.  For every
    class and every other, larger group: the number of common tokens bounds the
    overlap; fewer than ``k``, or sizes too far apart, closes the group.
@@ -43,6 +43,10 @@ WIDESPREAD_TOKENS = 1_000_000
 WIDESPREAD_DOCS = 8
 #: Groups up to this size are opened as pairs, larger ones in blocks; tokens of more classes than this name leaders.
 SMALL_GROUP = 8
+#: Bytes of sets that are sent to every task rather than shuffled.
+SENT_BYTES = 24 << 20
+#: Classes of a widespread token that the others are verified against.
+LEADERS = 8
 #: Rows of a block of members or of queries of a large group.
 BLOCK = 256
 
@@ -150,7 +154,12 @@ def _similar(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    """The pairs (a, b) whose exact similarity reaches the threshold.
+
+    ``sets`` (cls, data), checkpointed, goes to every task where it has SENT_BYTES at most; else both sides are shuffled.
+    """
+    if (sets.agg(F.sum(F.octet_length("data")).alias("b")).first()["b"] or 0) <= SENT_BYTES:
+        sets = F.broadcast(sets)
     first = sets.select(F.col("cls").alias("a"), F.col("data").alias("data_a"))
     second = sets.select(F.col("cls").alias("b"), F.col("data").alias("data_b"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "data_a", "data_b").mapInArrow(_similar(percent), "a long, b long")
@@ -198,22 +207,19 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     checkpointed; ``sets_of``: the whole sets (cls, data) of a table of classes.
     """
     common = shared_tokens(percent)
-    leaders = postings.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("classes"))
-    leaders = leaders.filter(F.col("classes") > SMALL_GROUP).drop("classes")
+    many = postings.groupBy("token").agg(F.count("*").alias("classes")).filter(F.col("classes") > SMALL_GROUP).select("token")
+    wide = checkpoint(postings.join(many, "token"))
+    leaders = wide.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("cls", "n")).alias("lead"))
     pairs = (
-        postings.join(leaders, "token")
+        wide.join(leaders.drop("slot"), "token")
         .filter(F.col("cls") != F.col("lead.cls"))
         .filter(_fits(F.col("n"), F.col("lead.n"), F.col("lead.n"), percent))
-        .groupBy(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))
-        .agg(F.lit(1).alias("one"))
-        .drop("one")
+        .select(F.greatest("cls", "lead.cls").alias("a"), F.least("cls", "lead.cls").alias("b"))
+        .distinct()
     )
     pairs = checkpoint(pairs)
     near = checkpoint(verified(pairs, sets_of(_ends(pairs, "a", "b")), percent))
-    # every member of a group is linked to the class that names it
-    group_of = near.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("grp"))
-    heads = near.select(F.col("b").alias("cls")).distinct().join(group_of, "cls", "left_anti").select("cls", F.col("cls").alias("grp"))
-    group_of = checkpoint(group_of.unionByName(heads))
+    group_of = checkpoint(connected_components(near).select(F.col("node").alias("cls"), F.col("root").alias("grp")))
     sizes = group_of.groupBy("grp").agg(F.count("*").alias("members"))
     grouped = checkpoint(group_of.join(sizes, "grp"))
     held = postings.join(grouped, "cls", "left").select(
@@ -233,9 +239,10 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     )
     opened = checkpoint(overlaps.select(F.col("cls").alias("query"), "to", "to_members"))
     members = grouped.select(F.col("grp").alias("to"), F.col("cls").alias("member"))
-    wanted = opened.join(members, "to", "left").select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b"), "to_members")
-    sets = sets_of(_ends(wanted, "a", "b"))
-    found = [near, verified(wanted.filter(F.col("to_members") <= SMALL_GROUP).drop("to_members"), sets, percent)]
+    inside = opened.select("to").distinct().join(members, "to", "left").select(F.coalesce("member", "to").alias("cls"))
+    sets = sets_of(inside.unionByName(opened.select(F.col("query").alias("cls"))).distinct())
+    small = opened.filter(F.col("to_members") <= SMALL_GROUP).join(members, "to", "left")
+    found = [near, verified(small.select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b")), sets, percent)]
     large = opened.filter(F.col("to_members") > SMALL_GROUP)
     counts = large.groupBy("to", "to_members").agg(F.count("*").alias("queries"))
     counts = counts.select(
