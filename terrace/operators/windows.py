@@ -22,7 +22,7 @@ def team_windows(long: DataFrame, max_rows: int | None = None, ewma_mode: str =
     ``ewma_mode='reference'`` weights the oldest match most (the published
     behaviour); ``'recent'`` weights the newest match most.
     """
-    k = KeyedWindow(long, ["team"], ORDER, halo=20, max_rows=max_rows)
+    k = KeyedWindow(long, ["team"], ORDER, halo=20 if ewma_mode == "reference" else 64, max_rows=max_rows)
     w5, w10, w20 = k.trailing(5), k.trailing(10), k.trailing(20)
     last = k.ordered()
     share = lambda cond, w: _mean(F.when(cond, 1.0).otherwise(0.0), w)
@@ -56,6 +56,14 @@ def team_windows(long: DataFrame, max_rows: int | None = None, ewma_mode: str =
         for c in ("points", "gs", "gc"):
             specs[f"_w_{c}"] = ("sum", weight * F.col(c))
     k.with_running(specs)
+    if ewma_mode != "reference":
+        # Newest-first weights: past the 64th match they are below the precision of doubles.
+        recent = {}
+        for name, c in (("form", "points"), ("gs", "gs"), ("gc", "gc")):
+            vals = F.collect_list(F.col(c).cast("double")).over(k.trailing(64))
+            num = F.aggregate(vals, F.lit(0.0), lambda a, x: a * V.EWMA_ALPHA + x)
+            recent[f"_e_{name}"] = num / F.aggregate(vals, F.lit(0.0), lambda a, x: a * V.EWMA_ALPHA + 1.0)
+        k.with_columns(recent)
     df = k.result()
     out = {
         "season_matches": n + 1,
@@ -69,14 +77,9 @@ def team_windows(long: DataFrame, max_rows: int | None = None, ewma_mode: str =
         for name, c in (("form", "points"), ("gs", "gs"), ("gc", "gc")):
             out[f"ewma_{name}"] = F.when(n > 0, F.col(f"_w_{c}") / F.col("_w")).otherwise(0.0)
     else:
-        # Newest-first weights: only the last 64 matches carry weight in doubles.
-        w64 = k.trailing(64)
-        for name, c in (("form", "points"), ("gs", "gs"), ("gc", "gc")):
-            vals = F.collect_list(F.col(c).cast("double")).over(w64)
-            num = F.aggregate(vals, F.lit(0.0), lambda a, x: a * V.EWMA_ALPHA + x)
-            den = F.aggregate(vals, F.lit(0.0), lambda a, x: a * V.EWMA_ALPHA + 1.0)
-            out[f"ewma_{name}"] = F.when(n > 0, num / den).otherwise(0.0)
-    return df.withColumns(out).drop("_prev_points", "_run_start", "_w", "_w_points", "_w_gs", "_w_gc")
+        for name in ("form", "gs", "gc"):
+            out[f"ewma_{name}"] = F.when(n > 0, F.col(f"_e_{name}")).otherwise(0.0)
+    return df.withColumns(out).drop("_prev_points", "_run_start", "_w", "_w_points", "_w_gs", "_w_gc", "_e_form", "_e_gs", "_e_gc")
 
 
 def venue_windows(long: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -154,13 +154,13 @@ def agg_team_league(spark, sf_dir):
     with_ctes(
         VALUATIONS,
         """
-yearly AS (SELECT club_id, year(valued_on) AS y, CAST(sum(value_eur) AS DOUBLE) AS v FROM valuations WHERE player_id % 3 = 0 GROUP BY 1, 2)""",
+yearly AS (SELECT club_id, year(valued_on) AS y, CAST(sum(value_eur) AS DOUBLE) AS v FROM valuations GROUP BY 1, 2)""",
         select="""
 SELECT club_id, count(*) AS seasons, coalesce(max(v) FILTER (WHERE y = 2000), arg_max(v, y)) AS current_eur FROM yearly GROUP BY club_id""",
     ),
 )
 def src_club_season_values(spark, sf_dir):
-    v = derived.valuations(spark, sf_dir).filter("player_id % 3 = 0")
+    v = derived.valuations(spark, sf_dir)
     yearly = v.groupBy("club_id", F.year("valued_on").alias("year")).agg(F.sum("value_eur").cast("double").alias("value_eur"))
     return squad_values.season_values(yearly, 2000)
 

@@ -384,9 +384,9 @@ def win_holdout_split(spark, sf_dir):
     return splits.holdout_split(derived.fixtures(spark, sf_dir), ORDER).select("match_id", "role")
 
 
-@query("top_tail_cap", with_ctes(MATCHES, _NUMBERED, select="SELECT match_id FROM numbered WHERE rn >= n - 5000"))
+@query("top_tail_cap", with_ctes(MATCHES, _NUMBERED, select="SELECT match_id FROM numbered WHERE rn >= n - 25000"))
 def top_tail_cap(spark, sf_dir):
-    return splits.newest_rows(derived.fixtures(spark, sf_dir), ORDER, 5000).select("match_id")
+    return splits.newest_rows(derived.fixtures(spark, sf_dir), ORDER, 25_000).select("match_id")
 
 
 # --- forecast log -----------------------------------------------------------

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 MAX_ROWS_CONF = "spark.terrace.maxRowsPerGroup"
 MAX_ROWS_DEFAULT = 2_000_000
-SMALL_INPUT_CONF = "spark.terrace.smallInputBytes"
-SMALL_INPUT_DEFAULT = 256 * 1024 * 1024
 
 
 def max_rows_per_group(spark: SparkSession) -> int:
@@ -42,25 +40,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the leaf relations under ``df`` as the optimizer knows them."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def hot_keys(df: DataFrame, keys: list[str], max_rows: int | None = None, weight: int = 1) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows, or None when no key can be that large.
 
-    Inputs whose scans are small as a whole need no count.  Otherwise one
-    map-side-combined count over the key columns decides.  ``weight`` is how many
-    units of the session's limit one row stands for.
+    One map-side-combined count over the key columns decides, at every size.
+    ``weight`` is how many units of the session's limit one row stands for.
     """
-    spark = df.sparkSession
-    small = int(spark.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_DEFAULT)))
     if max_rows is None:
-        if input_bytes(df) <= small:
-            return None
-        max_rows = max(max_rows_per_group(spark) // weight, 1)
+        max_rows = max(max_rows_per_group(df.sparkSession) // weight, 1)
     hot = df.groupBy(*keys).count().filter(F.col("count") > max_rows).drop("count")
     hot = checkpoint(hot)
     return None if hot.isEmpty() else hot

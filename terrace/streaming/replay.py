@@ -43,14 +43,19 @@ def read_slices(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def run_to_end(df: DataFrame, folder: str, mode: str = "append", each: Callable | None = None, timeout: int = 600) -> str:
-    """Run a stream over everything available; returns the output path."""
+def run_to_end(df: DataFrame, folder: str, mode: str = "append", each: Callable | None = None, timeout: int | None = None) -> str:
+    """Run a stream over everything available; returns the output path.
+
+    Without ``timeout`` (seconds) it may take as long as its input needs.
+    """
     out = f"{folder}/out"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", out)
     q: StreamingQuery = writer.start()
     try:
-        if not q.awaitTermination(timeout):
+        if timeout is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish in {timeout}s")
     finally:
         q.stop()

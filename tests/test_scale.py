@@ -26,6 +26,12 @@ def test_team_windows_split_hot_teams(matches):
     same(windows.team_windows(long), windows.team_windows(long, max_rows=25), ("match_id", "venue"))
 
 
+def test_recent_weights_split_hot_teams(matches):
+    long = match_rows.team_rows(matches)
+    whole = windows.team_windows(long, ewma_mode="recent")
+    same(whole, windows.team_windows(long, ewma_mode="recent", max_rows=70), ("match_id", "venue"))
+
+
 def test_venue_and_pair_windows_split(matches):
     long = match_rows.team_rows(matches)
     same(windows.venue_windows(long), windows.venue_windows(long, max_rows=11), ("match_id", "venue"))
@@ -58,7 +64,7 @@ def test_row_numbers_are_a_total_order(matches):
     assert [r["row_no"] for r in want] == list(range(len(want)))
 
 
-def test_small_inputs_need_no_count(matches):
+def test_no_key_above_the_limit(matches):
     assert scale.hot_keys(matches, ["home_team"]) is None
 
 
