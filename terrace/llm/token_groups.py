@@ -11,15 +11,18 @@ Steps, all of them Spark jobs over whole tables:
 2. *Signature tokens.*  Two sets that reach the threshold share at least ``k`` of
    their first ``n - ceil(t*n) + k`` tokens in any common order.  The order puts
    the most widespread tokens last, so shared passages rarely meet.
-3. *Groups.*  Every token that many classes share names a few of them as leaders; classes
-   verified against leaders form groups (connected components of those links).
+3. *Groups.*  Every token that many classes share names a few of them as leaders, and all
+   are compared with those.  Linked classes form groups (connected components); a class that
+   links to no leader but shares half of its tokens with one joins that one's group, so that a
+   family whose members are too far apart to link is still one group and not thousands.
 4. *Matrix.*  (token, group) pairs of the signature tokens, distinct.  For every
    class and every other, larger group: the number of common tokens bounds the
    overlap; fewer than ``k``, or sizes too far apart, closes the group.
 5. *Open.*  Members of the groups left are compared exactly, small groups as
    pairs, large ones in blocks against blocks of queries.
 
-Within a group links need not be listed again: its members are connected already.
+Within a group linked members are connected already; only those that joined by
+half of their tokens are compared with the others of their own group.
 The result is exact up to 64-bit hash collisions of shingles and of sets.
 """
 
@@ -47,8 +50,12 @@ SMALL_GROUP = 8
 SENT_BYTES = 24 << 20
 #: Classes of a widespread token that the others are verified against.
 LEADERS = 8
+#: Similarity to a leader, in percent, from which a class that links to none joins its group.
+NEAR_PERCENT = 50
 #: Rows of a block of members or of queries of a large group.
-BLOCK = 256
+BLOCK = 512
+#: Distinct tokens that two blocks are multiplied over at a time: 16 MB of counts at BLOCK rows.
+SLICE_TOKENS = 4096
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -139,22 +146,25 @@ def _class_sets(width: int):
     return run
 
 
-def _similar(percent: int):
+def _similar(percent: int, floor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, linked = [], []
             for i, (x, y) in enumerate(zip(batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                union = len(x) + len(y) - both
+                if 100 * both >= floor * union:
                     keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                    linked.append(100 * both >= percent * union)
+            near = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield near.append_column("linked", pa.array(linked, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b) whose exact similarity reaches ``floor``; ``linked`` where it reaches ``percent``.
 
     ``sets`` (cls, data), checkpointed, goes to every task where it has SENT_BYTES at most; else both sides are shuffled.
     """
@@ -162,30 +172,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets = F.broadcast(sets)
     first = sets.select(F.col("cls").alias("a"), F.col("data").alias("data_a"))
     second = sets.select(F.col("cls").alias("b"), F.col("data").alias("data_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "data_a", "data_b").mapInArrow(_similar(percent), "a long, b long")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "data_a", "data_b")
+    return both.mapInArrow(_similar(percent, floor), "a long, b long, linked boolean")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    return compared(pairs, sets, percent, percent).select("a", "b")
+
+
+def _incidence(owner: np.ndarray, at: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    out = np.zeros((rows, columns), np.float32)
+    out[owner, at] = 1
+    return out
+
+
+def _common_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Tokens in common of every set of ``left`` and every one of ``right``; columns of tokens are multiplied slice by slice."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    tokens = [np.concatenate(x) for x in (left, right)]
+    union = np.intersect1d(*map(np.unique, tokens), assume_unique=True)
+    held = []
+    for sets, all_tokens in zip((left, right), tokens):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(union, all_tokens)
+        inside = (at < len(union)) & (union[np.minimum(at, len(union) - 1)] == all_tokens) if len(union) else np.zeros(len(at), bool)
+        order = np.argsort(at[inside], kind="stable")
+        held.append((owner[inside][order], at[inside][order]))
+    for start in range(0, len(union), SLICE_TOKENS):
+        width = min(SLICE_TOKENS, len(union) - start)
+        parts = []
+        for (owner, at), sets in zip(held, (left, right)):
+            a, b = np.searchsorted(at, [start, start + width])
+            parts.append(_incidence(owner[a:b], at[a:b] - start, len(sets), width))
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
 
 
 def _open_block(percent: int):
-    """For each query of a block, one member of the opened block that it links to."""
+    """Links between a block of queries and a block of an opened group: as many as connect what all of them connect."""
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        ids = members.column("member").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
-        found = []
-        if sets:
-            sizes = np.array([len(s) for s in sets])
-            tokens, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            union = np.unique(tokens)
-            for q, data in zip(queries.column("query").to_pylist(), queries.column("q_tokens").to_pylist()):
-                own = np.frombuffer(data, np.uint64)
-                at = np.minimum(np.searchsorted(own, union), len(own) - 1)
-                if 100 * int((own[at] == union).sum()) < percent * len(own):
-                    continue
-                at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                both = np.add.reduceat((own[at] == tokens).astype(np.int64), edges)
-                linked = np.flatnonzero(100 * both >= percent * (sizes + len(own) - both))
-                if len(linked):
-                    found.append((q, ids[linked[0]]))
+        ids, asked = np.array(members.column("member").to_pylist(), np.int64), queries.column("query").to_pylist()
+        found: list[tuple[int, int]] = []
+        if len(ids) and asked:
+            sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
+            own = [np.frombuffer(x, np.uint64) for x in queries.column("q_tokens").to_pylist()]
+            both = _common_tokens(own, sets)
+            union = np.array([len(x) for x in own])[:, None] + np.array([len(x) for x in sets])[None, :] - both
+            linked = 100 * both >= percent * union
+            labels = np.arange(len(ids))  # members connected within this block share a label
+            for i, q in enumerate(asked):
+                parts, first = np.unique(labels[near := np.flatnonzero(linked[i])], return_index=True)
+                if len(parts):
+                    found += [(q, m) for m in ids[near[first]].tolist()]
+                    labels[np.isin(labels, parts)] = parts[0]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
@@ -218,8 +259,18 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         .distinct()
     )
     pairs = checkpoint(pairs)
-    near = checkpoint(verified(pairs, sets_of(_ends(pairs, "a", "b")), percent))
-    group_of = checkpoint(connected_components(near).select(F.col("node").alias("cls"), F.col("root").alias("grp")))
+    close = checkpoint(compared(pairs, sets_of(_ends(pairs, "a", "b")), percent, min(NEAR_PERCENT, percent)))
+    near = close.filter("linked").select("a", "b")
+    roots = checkpoint(connected_components(near).select(F.col("node").alias("cls"), "root"))
+    centres = close.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("centre"))
+    group_of = (
+        _ends(close, "a", "b")
+        .join(roots, "cls", "left")
+        .join(centres, "cls", "left")
+        .join(roots.select(F.col("cls").alias("centre"), F.col("root").alias("centre_root")), "centre", "left")
+        .select("cls", F.coalesce("root", "centre_root", "centre", "cls").alias("grp"), (F.col("root").isNull() & F.col("centre").isNotNull()).alias("loose"))
+    )
+    group_of = checkpoint(group_of)
     sizes = group_of.groupBy("grp").agg(F.count("*").alias("members"))
     grouped = checkpoint(group_of.join(sizes, "grp"))
     held = postings.join(grouped, "cls", "left").select(
@@ -237,12 +288,14 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         .agg(F.count("*").alias("bound"))
         .filter(F.col("bound") >= common)
     )
-    opened = checkpoint(overlaps.select(F.col("cls").alias("query"), "to", "to_members"))
+    loose = grouped.filter("loose").select(F.col("cls").alias("query"), F.col("grp").alias("to"), F.col("members").alias("to_members"))
+    opened = checkpoint(overlaps.select(F.col("cls").alias("query"), "to", "to_members").unionByName(loose))
     members = grouped.select(F.col("grp").alias("to"), F.col("cls").alias("member"))
     inside = opened.select("to").distinct().join(members, "to", "left").select(F.coalesce("member", "to").alias("cls"))
     sets = sets_of(inside.unionByName(opened.select(F.col("query").alias("cls"))).distinct())
     small = opened.filter(F.col("to_members") <= SMALL_GROUP).join(members, "to", "left")
-    found = [near, verified(small.select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b")), sets, percent)]
+    small = small.select(F.col("query").alias("a"), F.coalesce("member", "to").alias("b")).filter("a != b")
+    found = [near, verified(small, sets, percent)]
     large = opened.filter(F.col("to_members") > SMALL_GROUP)
     counts = large.groupBy("to", "to_members").agg(F.count("*").alias("queries"))
     counts = counts.select(
