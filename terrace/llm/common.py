@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ __all__ = ["WHITE", "checkpoint", "chunks", "keyed_texts", "mix", "rolling", "sh
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a regular expression class body.
 WHITE = r"\x20\x09-\x0D"
 #: Most words a worker remembers the hash of; the cache starts anew beyond it.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 #: Rows of a checked table up to which it is sent to every task; larger ones are joined by a shuffle.
 MAX_SENT_ROWS = 300_000
 #: Bytes of text that a task turns into arrays at a time.
@@ -101,7 +102,7 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` holds about ``size`` bytes, one row at least."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // size
     edges = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(sizes)]):

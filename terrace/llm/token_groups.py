@@ -93,10 +93,13 @@ def _repeated_tokens(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
-            tokens, counts = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            often = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+            sets = [shingle_set(x.as_py(), width) for x in batch.column("text")]
+            tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            del sets
+            tokens.sort()
+            again = np.flatnonzero(tokens[1:] == tokens[:-1])
+            tokens, counts = np.unique(tokens[again], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts + 1)], ["token", "n"])
 
     return run
 
