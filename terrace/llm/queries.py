@@ -90,7 +90,8 @@ def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), carry_text=False)
+    # the SQL twin states the wide cutoffs
+    judged = quality.judged(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), carry_text=False, wide=True)
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
