@@ -34,7 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens meet the tempered margins."""
+    """A sample whose expected tokens meet the tempered margins as far as the tokens held allow; ``mixing.margin_report`` shows how far."""
     return mixing.sampled(docs, POWERS, BUDGET, SEED)
 
 
