@@ -153,13 +153,13 @@ class IsotonicCalibrator:
 def fit_isotonic(scored: DataFrame, names: list[str] = PROBS) -> IsotonicCalibrator:
     """One monotone map per class over out-of-fold scores.
 
-    Scores are rounded to four places and summed first, so the fit sees at most ten
-    thousand weighted points per class whatever the row count.
+    Rows of equal scores are summed first, so the fit sees one weighted point per
+    distinct score.
     """
     models = []
     for cls, n in zip(metrics.CLASSES, names):
         hit = F.when(F.col("y") == cls, 1.0).otherwise(0.0)
-        points = scored.groupBy(F.round(n, 4).alias(n)).agg(F.avg(hit).alias("hit"), F.count("*").cast("double").alias("w"))
+        points = scored.groupBy(n).agg(F.avg(hit).alias("hit"), F.count("*").cast("double").alias("w"))
         models.append(IsotonicRegression(featuresCol=n, labelCol="hit", weightCol="w").fit(points))
     return IsotonicCalibrator(models)
 

@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 200
-
-
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", spread: int | None = None) -> DataFrame:
     """(file, line_no, value) of text files.  ``spread`` redistributes unsplittable (gz) input."""
     reader = spark.read
@@ -37,14 +34,18 @@ def _with_cells(df: DataFrame, line: str, width: int, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(cells, lambda c: F.trim(c))).drop("_parsed")
 
 
-def headed_rows(lines: DataFrame, header_marker: str, width: int = MAX_COLUMNS, file: str = "file") -> DataFrame:
+def headed_rows(lines: DataFrame, header_marker: str, width: int | None = None, file: str = "file") -> DataFrame:
     """Lines with ``row``: a map from the file's header names to this line's values.
 
-    ``header_marker`` is a pattern only header lines match.
+    ``header_marker`` is a pattern only header lines match.  ``width``: cells that
+    are read of a line with quotes; without it the headers are read first and
+    the widest one's count is taken, so that no named cell is lost.
     """
     clean = lines.withColumn("value", F.regexp_replace("value", "^﻿|[\r\n]+$", "")).filter(F.trim("value") != "")
     is_header = F.col("value").rlike(header_marker)
     heads = clean.filter(is_header).groupBy(file).agg(F.first("value").alias("_head"))
+    if width is None:
+        width = (heads.agg(F.max(F.regexp_count("_head", F.lit(",")))).first()[0] or 0) + 1
     named = F.filter(
         F.transform("_cells", lambda c, i: F.struct(c.alias("name"), i.alias("at"))),
         lambda p: F.coalesce(p["name"], F.lit("")) != "",
