@@ -177,8 +177,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_of_large_buckets(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the lines of large buckets, found exactly by their rarest shingles instead of by pairs."""
-    sets = checkpoint(sets)
+    """Links between the lines of large buckets, found exactly by their rarest shingles instead of by pairs.
+
+    Lines with equal shingle sets, such as few words repeated to different lengths,
+    are linked to the smallest of them, which alone is compared with others.
+    """
+    keyed = checkpoint(sets.withColumn("same", F.xxhash64("data")))
+    first = small_side(keyed.groupBy("same").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    equal = checkpoint(keyed.join(first, "same").filter("cls <> b").select(F.col("cls").alias("a"), "b"))
+    sets = checkpoint(keyed.drop("same").join(equal.select(F.col("a").alias("cls")), "cls", "left_anti"))
     tokens = sets.mapInArrow(_tokens, "token long, cls long, n int")
     spread = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = tokens.join(spread, "token", "left").withColumn(
@@ -189,7 +196,8 @@ def _links_of_large_buckets(sets: DataFrame, percent: int) -> DataFrame:
     postings = ranked.filter((F.col("at") <= length) & (F.col("n") >= least_set(percent)) & F.col("df").isNotNull()).select("token", "cls", "n")
     postings = checkpoint(postings)
     enough = postings.groupBy("cls").agg(F.count("*").alias("c")).filter(F.col("c") >= common).select("cls")
-    return class_links(checkpoint(postings.join(enough, "cls")), lambda classes: checkpoint(sets.join(classes, "cls")), percent)
+    links = class_links(checkpoint(postings.join(enough, "cls")), lambda classes: checkpoint(sets.join(classes, "cls")), percent)
+    return links.select("a", "b").unionByName(equal)
 
 
 def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
