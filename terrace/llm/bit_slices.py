@@ -144,10 +144,16 @@ def _search(k: int):
                     sums = add_slices(np.abs(q), np.where((q < 0)[:, None, None], ~slices, slices))
                     # score = 2**cut * sum + a constant + what the cut bits add, of which rows differ by ``slack`` at most
                     slack = int(np.abs(q).sum()) * ((1 << cut) - 1)
-                    kth = top_rows(sums, k + 1, everyone)[1] if len(ids) > k else 0
-                    near = _reaching(sums, kth - (-(-slack >> cut)), everyone)
+                    # ids are in order; the query's own rows, however many, take none of the k places
+                    own = np.searchsorted(ids, qid), np.searchsorted(ids, qid, side="right")
+                    others = everyone
+                    if own[0] < own[1]:
+                        flags = np.unpackbits(everyone.view(np.uint8), bitorder="little")
+                        flags[own[0] : own[1]] = 0
+                        others = np.packbits(flags, bitorder="little").view(np.uint64)
+                    kth = top_rows(sums, k, others)[1] if len(ids) - (own[1] - own[0]) > k else 0
+                    near = _reaching(sums, kth - (-(-slack >> cut)), others)
                     chosen = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(ids)])
-                    chosen = chosen[ids[chosen] != qid]
                     score = rows[chosen] @ q
                     best = np.lexsort((ids[chosen], -score))[:k]
                     found.append((qid, ids[chosen][best], score[best]))
