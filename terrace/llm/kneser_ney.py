@@ -61,23 +61,38 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all first ones before all second ones."""
+    return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T.copy().view(kind).reshape(-1)
+
+
 def _pack(words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows of word hashes, sorted by the first, with counts."""
-    first = np.diff(words[:, 0], prepend=np.uint64(0))
-    columns = [first.view(np.uint8).reshape(-1, 8).T.tobytes(), *(np.ascontiguousarray(words[:, j]).tobytes() for j in range(1, words.shape[1]))]
+    """Rows of word hashes, sorted by the first, with counts; the other words are places in the list of distinct ones."""
+    known, places = np.unique(words[:, 1:], return_inverse=True)
+    places = places.reshape(len(words), words.shape[1] - 1).astype(np.uint32)
+    columns = [_planes(np.diff(words[:, 0], prepend=np.uint64(0))), _planes(np.diff(known, prepend=np.uint64(0)))]
+    columns += [_planes(np.ascontiguousarray(places[:, j])) for j in range(places.shape[1])]
     kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
-    head = np.array([len(words), words.shape[1], kind.itemsize], np.int64).tobytes()
+    head = np.array([len(words), words.shape[1], kind.itemsize, len(known)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(columns) + counts.astype(kind).tobytes())
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(payload)
-    n, width, size = np.frombuffer(data, np.int64, 3).tolist()
+    n, width, size, distinct = np.frombuffer(data, np.int64, 4).tolist()
     words = np.empty((n, width), np.uint64)
-    words[:, 0] = np.cumsum(np.frombuffer(data, np.uint8, 8 * n, 24).reshape(8, n).T.copy().view(np.uint64).reshape(-1))
+    words[:, 0] = np.cumsum(_from_planes(data, np.uint64, n, 32))
+    known = np.cumsum(_from_planes(data, np.uint64, distinct, 32 + 8 * n), dtype=np.uint64)
+    at = 32 + 8 * n + 8 * distinct
     for j in range(1, width):
-        words[:, j] = np.frombuffer(data, np.uint64, n, 24 + 8 * n * j)
-    return words, np.frombuffer(data, np.dtype(f"u{size}"), n, 24 + 8 * n * width).astype(np.int64)
+        words[:, j] = known[_from_planes(data, np.uint32, n, at)]
+        at += 4 * n
+    return words, np.frombuffer(data, np.dtype(f"u{size}"), n, at).astype(np.int64)
 
 
 def _merged(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ def _remainder(divisor: int) -> Column:
 
 def op2_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", _remainder(5).alias("held_out"), "text")
-    model = kneser_ney.train(docs.filter("NOT held_out"), order=2)
+    model = kneser_ney.train(docs.filter("NOT held_out"), order=3)
     scored = kneser_ney.scored(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
