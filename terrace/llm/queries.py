@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bit_slices, credentials, kneser_ney, langid, mixing, paragraphs, pieces, quality, token_groups, warc
+from terrace.llm import (
+    bit_slices, credentials, kneser_ney, langid, line_dedup, mixing, paragraphs, pieces, quality, resampling, token_groups, warc, whitening,
+)
 from terrace.llm.common import checkpoint
 from terrace.llm.twins import TWINS
 
@@ -100,11 +102,40 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, POWERS, BUDGET, SEED).drop("text")
 
 
+def op11_reversible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least 10 documents hold, by a store that holds them all."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    store = line_dedup.insert(line_dedup.empty_store(spark, least_docs=10), docs)
+    kept = line_dedup.deduplicated(docs, store)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components, one row each."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(table, scale=64, most=32)
+    rows = whitening.whitened(table, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    n, error, shares = (model.n, whitening.identity_error(table, model), model.shares().tolist()) if model else (0, 0.0, [0.0])
+    explained = F.element_at(F.array(*[F.lit(x) for x in shares]), F.col("at") + 1)
+    return rows.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        explained.alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score, and its rank in a draw of a tenth."""
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    drawn = resampling.resampled(_documents(spark, sf_dir), target, percent=10, seed=2024, least_words=20, longest=1, buckets=10_000)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_piece_coding, op2_kneser_ney_score, op3_bit_sliced_top_k, op4_credential_links, op5_paragraph_repeats,
         op6_token_group_join, op7_warc_transactions, op8_word_first_language, op9_adaptive_quality, op10_raked_mix,
+        op11_reversible_lines, op12_spectral_whitening, op13_radix_resampling,
     )
 }
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}

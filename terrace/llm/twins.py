@@ -108,10 +108,48 @@ o AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS owner FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM o"""
 
+_LINES = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM docs),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(hot.k)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY r"""
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of the reflected CRC-32 polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _resampling() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    crc = f"list_reduce(list_transform(generate_series(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT), lambda c, b: xor(c >> 8, {_crc_table()}[xor(c & 255, b) + 1]), 4294967295::BIGINT)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT {words} AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS f FROM d), bw AS (SELECT unnest(w) AS f FROM b),
+known AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+bucket AS (SELECT f, xor({crc}, 4294967295) % 10000 AS k FROM known),
+s AS (SELECT k, count(*) AS n FROM dw JOIN bucket USING (f) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bw JOIN bucket USING (f) GROUP BY k),
+total AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM bw) AS t),
+gain AS (SELECT k, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (total.s + 10000)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT DISTINCT k FROM bucket) LEFT JOIN s USING (k) LEFT JOIN t USING (k) CROSS JOIN total),
+weights AS (SELECT r, sum(g) AS g, count(*) AS n FROM dw JOIN bucket USING (f) JOIN gain USING (k) GROUP BY r),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(floor(weights.g::DOUBLE / weights.n), 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT doc_id, n_features, weight, weight + noise AS score, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST) AS p FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND p <= (SELECT count(*) FROM placed WHERE able) * 10 // 100 THEN p END AS rank FROM placed"""
+
+
 TWINS: dict[str, str] = {
     "op3_bit_sliced_top_k": _TOP_K,
     "op4_credential_links": _secrets(),
     "op6_token_group_join": _components(4, 85),
     "op7_warc_transactions": _WARC,
     "op9_adaptive_quality": _quality(),
+    "op11_reversible_lines": _LINES,
+    "op13_radix_resampling": _resampling(),
 }
