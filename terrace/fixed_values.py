@@ -26,6 +26,34 @@ PI_CLIP = 4.0
 PI_MIN_GAMES = 4
 EWMA_ALPHA = 0.3
 
+# --- fixed values: training ------------------------------------------------
+CALIB_LOW, CALIB_HIGH = 0.01, 0.99
+CALIB_C = (0.1, 0.3, 1.0, 3.0)
+CALIB_PRIOR_MIX = (0.0, 0.03, 0.06, 0.10)
+VOTE_WEIGHTS = (0.4, 0.35, 0.25)  # boosted trees, forest, logistic
+VOTE_GRID = ((0.5, 0.3, 0.2), (0.4, 0.35, 0.25), (0.34, 0.33, 0.33), (0.25, 0.45, 0.3))
+SELECT_K_GRID = (None, 50, 35, 20)
+TUNING_ROWS = 25_000
+RECENCY_HALFLIFE_DAYS = 540
+LEARNER_DEFAULTS = {
+    "gbt": {"depth": 4, "rounds": 300, "step": 0.05, "min_leaf": 20},
+    "forest": {"trees": 400, "depth": 10, "min_leaf": 5, "subset": "sqrt"},
+    "logistic": {"c": 0.5, "max_iter": 2000},
+}
+LEARNER_GRIDS = {
+    "gbt": (
+        {"depth": 4, "rounds": 300, "step": 0.05, "min_leaf": 20},
+        {"depth": 6, "rounds": 250, "step": 0.03, "min_leaf": 30},
+        {"depth": 5, "rounds": 400, "step": 0.04, "min_leaf": 15},
+    ),
+    "forest": (
+        {"trees": 300, "depth": 10, "min_leaf": 10, "subset": "sqrt"},
+        {"trees": 400, "depth": 10, "min_leaf": 5, "subset": "sqrt"},
+        {"trees": 350, "depth": 12, "min_leaf": 8, "subset": "log2"},
+    ),
+    "logistic": ({"c": 0.2, "max_iter": 2000}, {"c": 1.0, "max_iter": 2000}, {"c": 0.05, "max_iter": 2000}),
+}
+
 # --- fixed values: text ----------------------------------------------------
 CLUB_DROP_TOKENS = r"\b(fc|afc|cf|sc|cd|ac|sv|ss|as|us|rc|sk|sp|ca|ec|se|cr|club|de|do|the|team)\b"
 RATING_DROP_TOKENS = r"\b(fc|afc|cf|sc|cd|ac|sv|ss|as|us|rc|sk|club|the)\b"

@@ -18,17 +18,12 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.fixed_values import CALIB_C, CALIB_HIGH, CALIB_LOW, CALIB_PRIOR_MIX, VOTE_GRID, VOTE_WEIGHTS
 from terrace.operators import metrics, splits, sweeps
 from terrace.operators.bayes import fit_naive_bayes, select_k_best
 from terrace.scale import checkpoint
 
 PROBS = list(metrics.PROBS)
-CALIB_LOW, CALIB_HIGH = 0.01, 0.99
-CALIB_C = (0.1, 0.3, 1.0, 3.0)
-CALIB_PRIOR_MIX = (0.0, 0.03, 0.06, 0.10)
-VOTE_WEIGHTS = (0.4, 0.35, 0.25)
-VOTE_GRID = ((0.5, 0.3, 0.2), (0.4, 0.35, 0.25), (0.34, 0.33, 0.33), (0.25, 0.45, 0.3))
-SELECT_K_GRID = (None, 50, 35, 20)
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:

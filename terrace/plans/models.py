@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators import bayes, features, match_rows, metrics, models, splits
+from terrace import fixed_values as V
+from terrace.operators import bayes, features, match_rows, metrics, models, ratings, splits, team_state, training
 from terrace.plans.catalogue import query
 from terrace.plans.sql import LONG, MATCHES, OUTCOMES, with_ctes
 from terrace.scale import checkpoint
 from terrace.sources import derived
+from terrace.streaming import replay
 
 ORDER = ["match_date", "match_seq"]
 PLAIN = ["home_shots", "away_shots", "home_corners", "away_corners", "total_goals"]
-FORM = [f"{s}_{c}" for s in ("home", "away") for c in ("form", "overall_form", "ppf_10", "gd_10", "rest_days", "shots_avg")] + ["q_away", "q_draw", "q_home"]
 
 
 def _plain(spark, sf_dir):
@@ -20,15 +25,6 @@ def _plain(spark, sf_dir):
     return m.select("match_id", *ORDER, "competition", F.col("result").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLAIN])
 
 
-def _table(spark, sf_dir):
-    m = derived.second_probabilities(derived.matches(spark, sf_dir)).select(
-        "match_id", *ORDER, "competition", F.col("result").alias("y"), "q_away", "q_draw", "q_home"
-    )
-    form = features.side_by_side(features.team_form(derived.matches(spark, sf_dir)))
-    cols = [c for c in FORM if not c.startswith("q_")]
-    return checkpoint(m.join(form.select("match_id", *[F.col(c).cast("double").alias(c) for c in cols]), "match_id"))
-
-
 _PLAIN_SQL = "plain AS (SELECT match_id, competition, result AS y, " + ", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in PLAIN) + " FROM matches)"
 _NB_STATS = "stats AS (SELECT y, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, greatest(var_pop({c}), 1e-9) AS v_{c}" for c in PLAIN) + " FROM plain GROUP BY y)"
 _NB_LOG = " + ".join(f"greatest(-pow(p.{c} - m_{c}, 2) / (2 * v_{c}) - 0.5 * ln(2 * pi() * v_{c}), ln(1e-300))" for c in PLAIN)
@@ -136,86 +132,175 @@ def _scored(df):
     return s.withColumn("sums_to_one", gap.scalar() < 1e-6)
 
 
+# --- jobs over the 95-column training table ------------------------------------
+#
+# Settings, folds and grids are whole; only the number of trees and rounds is scaled by
+# TREE_SHARE, because the whole ones take hours on one machine (figures in the README).
+
+TREE_SHARE = 0.01
+SECOND = training.DC_PROBS
+_TABLES: dict[tuple[str, str], str] = {}
+_TRAINED: dict[tuple[str, str], training.Trained] = {}
+
+
+def _settings(**more) -> training.Settings:
+    given = {"halflife_days": V.RECENCY_HALFLIFE_DAYS, "gap": 50, "burn_in": 1, "tree_share": TREE_SHARE} | more
+    return training.Settings(features.FEATURE_COLS, ORDER, **given)
+
+
+def _vectors(spark, sf_dir):
+    """The training table, written once a session and read by every job below."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        folder = replay.work_folder(spark, "training")
+        table = features.training_table(features.match_features(derived.matches(spark, sf_dir)), warmup=["ELC"])
+        table.write.parquet(folder)
+        _TABLES[key] = folder
+    return spark.read.parquet(_TABLES[key])
+
+
+def _split(spark, sf_dir):
+    """Rows before the newest fifth, and that fifth."""
+    t = checkpoint(splits.holdout_split(_vectors(spark, sf_dir), ORDER))
+    return t.filter("role = 'train'").drop("role", "row_no"), t.filter("role <> 'train'").drop("role", "row_no")
+
+
+def _scored(df):
+    s = metrics.summary(df, F.col("y"), metrics.argmax_class())
+    gap = df.agg(F.max(F.abs(F.col("p_away") + F.col("p_draw") + F.col("p_home") - 1.0)).alias("g"))
+    return s.withColumn("sums_to_one", gap.scalar() < 1e-6)
+
+
+def _fitted(spark, sf_dir, combiner, k=None, **more):
+    """Scores of the newest fifth by a model of the rows before it."""
+    past, newest = _split(spark, sf_dir)
+    return _scored(checkpoint(training.fit_model(past, training.Choice(k=k), _settings(combiner=combiner, **more)).transform(newest)))
+
+
 @query("ml_logreg")
 def ml_logreg(spark, sf_dir):
-    df = models.with_class_weight(_plain(spark, sf_dir))
-    return _scored(models.fit_logistic(df, PLAIN, max_iter=30).score(df))
+    return _fitted(spark, sf_dir, "logistic")
 
 
 @query("ml_rf")
 def ml_rf(spark, sf_dir):
-    df = models.with_class_weight(_plain(spark, sf_dir))
-    return _scored(models.fit_forest(df, PLAIN, trees=10, depth=5).score(df))
+    return _fitted(spark, sf_dir, "forest")
 
 
 @query("ml_gbt")
 def ml_gbt(spark, sf_dir):
-    df = models.with_class_weight(_plain(spark, sf_dir))
-    return _scored(models.fit_boosted(df, PLAIN, rounds=3, depth=3, step=0.2).score(df))
+    return _fitted(spark, sf_dir, "gbt")
+
+
+@query("ml_stack")
+def ml_stack(spark, sf_dir):
+    """Three calibrated learners under a logistic learner over their out-of-fold probabilities."""
+    return _fitted(spark, sf_dir, "stack", k=20, inner_folds=2)
+
+
+def _importances(spark, sf_dir):
+    s = _settings(combiner="forest")
+    return training.importances(training.fit_model(_vectors(spark, sf_dir), training.Choice(k=50), s), s.features)
 
 
 @query("ml_importance")
 def ml_importance(spark, sf_dir):
-    model = models.fit_forest(_plain(spark, sf_dir), PLAIN, trees=10, depth=5)
-    return spark.createDataFrame(model.importances(), "feature string, importance double")
+    """Every feature's mean tree importance, 0 for those that were not selected."""
+    return spark.createDataFrame(_importances(spark, sf_dir), "feature string, importance double")
 
 
 @query("top_features")
 def top_features(spark, sf_dir):
-    return ml_importance(spark, sf_dir).orderBy(F.desc("importance")).limit(10)
+    return ml_importance(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(10)
 
 
 @query("ml_oof_isotonic")
 def ml_oof_isotonic(spark, sf_dir):
-    oof = checkpoint(models.out_of_fold(_plain(spark, sf_dir), PLAIN, "logistic", max_iter=20))
-    return _scored(models.fit_isotonic(oof).transform(oof))
-
-
-@query("ml_stack")
-def ml_stack(spark, sf_dir):
-    oof = models.out_of_fold(_plain(spark, sf_dir), PLAIN, "logistic", max_iter=20)
-    base = derived.second_probabilities(oof.withColumnsRenamed({c: f"lr_{c}" for c in models.PROBS}))
-    base = checkpoint(base)
-    members = [[f"lr_{c}" for c in models.PROBS], ["q_away", "q_draw", "q_home"]]
-    return _scored(models.fit_stack(base, members).score(base))
+    """Out-of-fold forest scores under isotonic maps that were fitted on them."""
+    s = _settings()
+    data = training.assembled(_vectors(spark, sf_dir), s.features, s)
+    oof = training.out_of_fold(data, lambda d: training.fit_base(d, "forest", V.LEARNER_DEFAULTS["forest"], s), s, salt=1)
+    mapped = training.applied(training.fit_isotonic_stages(oof, "forest"), oof)
+    return _scored(mapped.withColumnsRenamed(dict(zip(training.columns_of("forest"), models.PROBS))))
 
 
 @query("ml_legacy_mix")
 def ml_legacy_mix(spark, sf_dir):
-    df = _plain(spark, sf_dir)
-    held = models.hash_fold("match_id", 5) == 0
-    return _scored(models.legacy_mix(df.filter(~held), df.filter(held), PLAIN))
+    """Every row scored by the mix of the folds it is not in."""
+    df = _vectors(spark, sf_dir)
+    fold = models.hash_fold("match_id", 5)
+    kept = bayes.select_k_best(df, features.FEATURE_COLS, 20)
+    parts = [models.legacy_mix(df.filter(fold != k), df.filter(fold == k), kept) for k in range(5)]
+    return _scored(checkpoint(reduce(DataFrame.unionByName, [p.select("y", *models.PROBS) for p in parts])))
 
 
 @query("ml_purged_cv")
 def ml_purged_cv(spark, sf_dir):
-    r = models.purged_cv(_plain(spark, sf_dir), PLAIN, "logistic", ORDER, n_folds=3, gap=50, burn_in=1, max_iter=20)
-    return spark.createDataFrame([(f["fold"], f["n"], f["accuracy"], f["macro_f1"], f["rps"]) for f in r.folds], "fold int, n long, accuracy double, macro_f1 double, rps double")
+    """Five expanding folds of the voting model, the first one burnt in, with recency weights."""
+    scores = training.cross_validated(_vectors(spark, sf_dir), training.Choice(k=20), _settings(combiner="vote"))
+    return scores.select("fold", "n", "accuracy", "macro_f1", "rps", "log_loss")
 
 
 @query("ml_search")
 def ml_search(spark, sf_dir):
-    grids = {"logistic": [{"c": 0.2, "max_iter": 15}, {"c": 1.0, "max_iter": 15}]}
-    best = models.greedy_search(_plain(spark, sf_dir), PLAIN, ORDER, grids, n_folds=2, gap=20)
-    return spark.createDataFrame([(k, v["score"], str(v["params"])) for k, v in best.items()], "learner string, score double, params string")
+    """Every candidate of the search with its score, and which ones were chosen."""
+    choice = training.search(_vectors(spark, sf_dir), _settings(combiner="vote", calibrate_search=False, tree_share=TREE_SHARE / 2))
+    taken = {"k": [choice.k], "learners": list(choice.params.items()), "weights": [choice.weights]}
+    rows = [(step, str(value), score, value in taken[step]) for step, tried in choice.scores.items() for value, score in tried]
+    return spark.createDataFrame(rows, "step string, candidate string, score double, chosen boolean")
 
 
 @query("ml_dirichlet_calib")
 def ml_dirichlet_calib(spark, sf_dir):
-    df = checkpoint(derived.outcome_rows(spark, sf_dir))
-    cal = models.fit_dirichlet(df, ORDER, grid_c=(0.3, 1.0), max_iter=30)
-    return _scored(cal.transform(df)).withColumns({"c": F.lit(cal.c), "mix": F.lit(cal.mix)})
+    """All strengths and prior mixes, over a model's scores of rows it did not see."""
+    past, newest = _split(spark, sf_dir)
+    scored = training.fit_model(past, training.Choice(), _settings(combiner="logistic")).transform(newest)
+    tagged = checkpoint(splits.holdout_split(scored.drop("role", "row_no"), ORDER, 0.5))
+    cal = models.fit_dirichlet(tagged.filter("role = 'train'").drop("role", "row_no"), ORDER)
+    out = checkpoint(cal.transform(tagged.filter("role <> 'train'")))
+    return _scored(out).withColumns({"c": F.lit(cal.c), "mix": F.lit(cal.mix)})
+
+
+def trained(spark, sf_dir):
+    """The training job with given settings: holdout, blend, calibration, draw rule, served model on all rows; once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train(_vectors(spark, sf_dir), _settings(combiner="forest"), training.Choice(k=50), SECOND)
+    return _TRAINED[key]
 
 
 @query("ml_honest_holdout")
 def ml_honest_holdout(spark, sf_dir):
-    preds, chosen = models.honest_holdout(_table(spark, sf_dir), FORM, ORDER, second=["q_away", "q_draw", "q_home"], max_iter=30)
-    return _scored(preds).withColumn("blend", F.lit(chosen["blend"]))
+    done = trained(spark, sf_dir)
+    chosen = {"blend": done.report["blend"], "draw_threshold": done.report["draw_threshold"], "c": done.report["calibration_c"]}
+    return _scored(done.holdout).withColumns({n: F.lit(v) for n, v in chosen.items()})
 
 
 @query("ml_batch_score")
 def ml_batch_score(spark, sf_dir):
-    """Fit on the past, score the newest fixtures; no draw rule is applied."""
-    t = splits.holdout_split(_table(spark, sf_dir), ORDER)
-    model = models.fit_logistic(t.filter("role = 'train'"), FORM, max_iter=30)
-    return model.score(t.filter("role <> 'train'").drop("y")).select("match_id", *[F.round(c, 6).alias(c) for c in models.PROBS])
+    """Every fixture priced by the served model: state vectors, calibrated probabilities, expected goals."""
+    m = derived.matches(spark, sf_dir)
+    state = team_state.team_state(team_state.state_rows(features.team_form(m), ratings.rate_matches(m)))
+    fixtures = derived.fixtures(spark, sf_dir).select("match_id", "home_team", "away_team")
+    pipeline = trained(spark, sf_dir).pipeline
+    priced = training.price(fixtures, checkpoint(state), checkpoint(team_state.pair_history(m)), pipeline, features.FEATURE_COLS)
+    return priced.select("match_id", *[F.round(c, 6).alias(c) for c in [*models.PROBS, "exp_home", "exp_away"]], "rho")
+
+
+@query(
+    "snk_model",
+    with_ctes(MATCHES, select="SELECT match_id, 0.0::DOUBLE AS difference, true AS same_pick FROM matches WHERE competition NOT IN ('ELC')"),
+)
+def snk_model(spark, sf_dir):
+    """The whole pipeline saved, loaded back, and both copies scored over the whole table."""
+    done = trained(spark, sf_dir)
+    folder = replay.work_folder(spark, "model")
+    training.save(done, folder)
+    loaded = training.load(spark, folder, features.FEATURE_COLS)
+    if loaded.report != json.loads(json.dumps(done.report)):
+        raise ValueError("the report changed on its way")
+    df = _vectors(spark, sf_dir)
+    first = done.pipeline.transform(df).select("match_id", *models.PROBS, "pick")
+    second = loaded.pipeline.transform(df).select("match_id", *[F.col(p).alias(f"l_{p}") for p in models.PROBS], F.col("pick").alias("l_pick"))
+    gap = F.greatest(*[F.abs(F.col(p) - F.col(f"l_{p}")) for p in models.PROBS])
+    return first.join(second, "match_id").select("match_id", gap.alias("difference"), (F.col("pick") == F.col("l_pick")).alias("same_pick"))
