@@ -8,8 +8,7 @@ documents.  A group with few rows takes its cutoffs from the next wider sketch.
 Cutoffs lie beyond the bulk of their group; documents outside are rejected by a
 join with the cutoffs.  No Python runs.
 
-The cutoffs start at a high (or low) quantile of the group's sketch (``tail_cutoffs``).
-``cutoffs`` are the wide ones that the SQL twin of the registered query states.
+The cutoffs start at a high (or low) quantile of the group's own sketch; no fixed value enters.
 """
 
 from __future__ import annotations
@@ -21,14 +20,11 @@ from terrace.llm.common import WHITE, checkpoint, small_side
 
 #: Rows from which a group's own sketch is used.
 MIN_GROUP = 50
-#: metric -> (lower side too, least distance from the median that counts as far, in the metric's units).
-METRICS = {"symbols": (False, 150), "dup_lines": (False, 600), "repeats": (False, 400), "word_len": (True, 500)}
-#: How many times the distance from the median to the quartile is still inside.
-REACH = 8
-#: Tail metric -> lower side too.
-TAIL_METRICS = {"symbols": False, "dup_lines": False, "repeats": False, "word_len": True}
+#: Metric -> lower side too.
+METRICS = {"symbols": False, "dup_lines": False, "repeats": False, "word_len": True}
 #: Percent of a group's rows below the low and the high starting point, and how many quartile distances beyond it are still inside.
 LOW_TAIL, HIGH_TAIL, TAIL_REACH = 3, 97, 3
+PERCENTS = (LOW_TAIL, 25, 50, 75, HIGH_TAIL)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Counts of ``text_counts`` beside those of the registered query.
 MORE_COUNTS = ["n_lines"]
@@ -87,21 +83,16 @@ def base_failed() -> Column:
 
 
 def metrics() -> dict[str, Column]:
-    """Whole-number metrics: shares in thousandths, word length in hundredths of a code point."""
+    """Whole-number metrics: shares (repeated lines: of the lines) in thousandths, word length in hundredths of a code point."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     return {
         "symbols": F.floor(F.expr("1000 * n_symbols / greatest(word_chars, 1)")),
-        "dup_lines": F.floor(F.expr("1000 * n_dup_lines / greatest(n_words, 1)")),
+        "dup_lines": F.floor(F.expr("1000 * n_dup_lines / greatest(n_lines, 1)")),
         "repeats": F.floor(1000 * F.col("n_repeat_words") / words),
         "word_len": F.floor(100 * F.col("word_chars") / words),
     }
 
 
-def tail_metrics() -> dict[str, Column]:
-    """``metrics`` with the repeated lines as a share of the lines."""
-    return metrics() | {"dup_lines": F.floor(F.expr("1000 * n_dup_lines / greatest(n_lines, 1)"))}
-
-
 def _dropped_bits(value: Column) -> Column:
     return F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
 
@@ -112,10 +103,9 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def sketches(counted: DataFrame, lang: str = "lang", source: str = "source", measured: dict[str, Column] | None = None) -> DataFrame:
+def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, metric, bucket, n): the quantile sketch of each metric of the rows that pass the base rules."""
-    measured = metrics() if measured is None else measured
-    rows = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v.cast("long")).alias("bucket")) for k, v in measured.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v.cast("long")).alias("bucket")) for k, v in metrics().items()])
     return (
         counted.filter(~base_failed())
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(rows).alias("r"))
@@ -124,7 +114,7 @@ def sketches(counted: DataFrame, lang: str = "lang", source: str = "source", mea
     )
 
 
-def _quantiles(sketch: DataFrame, keys: list[str], level: int, percents: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+def _quantiles(sketch: DataFrame, keys: list[str], level: int, percents: tuple[int, ...]) -> DataFrame:
     """One row per key with the row count and each metric's quantiles; ``level``: 0 for the narrowest."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     # a sketch has a bounded number of buckets, whatever the number of rows it counts
@@ -158,46 +148,33 @@ def _group_quantiles(sketch: DataFrame, min_group: int, percents: tuple[int, ...
 def cutoffs(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, <metric>_low, <metric>_high) for every group of ``sketch``; nulls are groups of their own.
 
-    These are wide: no row that passes the base rules is beyond the cutoff of ``repeats``.
-    """
-    out = []
-    for m, (both, least) in METRICS.items():
-        q25, q50, q75 = (F.col(f"{m}_q{p}") for p in (25, 50, 75))
-        low = q50 - F.greatest(REACH * (q50 - q25), F.lit(least)) if both else F.lit(0)
-        out += [low.cast("long").alias(f"{m}_low"), (q50 + F.greatest(REACH * (q75 - q50), F.lit(least))).cast("long").alias(f"{m}_high")]
-    return _group_quantiles(sketch, min_group, (25, 50, 75)).select("lang", "source", *out)
-
-
-def tail_cutoffs(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """As ``cutoffs``, from the sketch alone: its tail quantile, TAIL_REACH quartile distances and the width of one bucket.
-
-    At most 3% of a group's rows are beyond each side of a metric.
+    A cutoff is the group's tail quantile, TAIL_REACH quartile distances and the width of one
+    bucket away from the median; at most 3% of a group's rows are beyond each side of a metric.
     """
     width = lambda q: F.call_function("shiftleft", F.lit(1).cast("long"), _dropped_bits(q))
     out = []
-    for m, both in TAIL_METRICS.items():
-        bottom, q25, q50, q75, top = (F.col(f"{m}_q{p}") for p in (LOW_TAIL, 25, 50, 75, HIGH_TAIL))
+    for m, both in METRICS.items():
+        bottom, q25, q50, q75, top = (F.col(f"{m}_q{p}") for p in PERCENTS)
         low = bottom - TAIL_REACH * (q50 - q25) - width(bottom) if both else F.lit(0)
         out += [low.cast("long").alias(f"{m}_low"), (top + TAIL_REACH * (q75 - q50) + width(top)).cast("long").alias(f"{m}_high")]
-    return _group_quantiles(sketch, min_group, (LOW_TAIL, 25, 50, 75, HIGH_TAIL)).select("lang", "source", *out)
+    return _group_quantiles(sketch, min_group, PERCENTS).select("lang", "source", *out)
 
 
-def judge(counted: DataFrame, min_group: int = MIN_GROUP, wide: bool = False) -> DataFrame:
-    """``counted`` (lang, source and the counts) with base_failed and kept; ``wide`` takes ``cutoffs`` for ``tail_cutoffs``.
+def judge(counted: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """``counted`` (lang, source and the counts) with base_failed and kept.
 
     ``counted`` is read twice: for the sketches, then for the verdicts.
     """
-    measured = metrics() if wide else tail_metrics()
-    limits = (cutoffs if wide else tail_cutoffs)(sketches(counted, measured=measured), min_group)
+    limits = cutoffs(sketches(counted), min_group)
     limits = small_side(limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in limits.columns[2:]]))
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    inside = [(v >= F.col(f"__{m}_low")) & (v <= F.col(f"__{m}_high")) for m, v in measured.items()]
+    inside = [(v >= F.col(f"__{m}_low")) & (v <= F.col(f"__{m}_high")) for m, v in metrics().items()]
     verdict = ~base_failed() & F.coalesce(inside[0] & inside[1] & inside[2] & inside[3], F.lit(False))
     keep = [F.col(f"`{c}`") for c in counted.columns if c not in ("base_failed", "kept")]
     return counted.join(limits, same, "left").select(*keep, base_failed().alias("base_failed"), verdict.alias("kept"))
 
 
-def judged(docs: DataFrame, min_group: int = MIN_GROUP, carry_text: bool = True, wide: bool = False) -> DataFrame:
+def judged(docs: DataFrame, min_group: int = MIN_GROUP, carry_text: bool = True) -> DataFrame:
     """``docs`` (text, lang, source) with the counts of ``text_counts``, base_failed and kept.
 
     Without ``carry_text`` the text is dropped and the counts are checkpointed, so that texts are counted once.
@@ -209,7 +186,7 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, carry_text: bool = True,
     result's are replaced.
     """
     counted = text_counts(docs.drop("base_failed", "kept"))
-    return judge(counted if carry_text else checkpoint(counted.drop("text")), min_group, wide)
+    return judge(counted if carry_text else checkpoint(counted.drop("text")), min_group)
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -60,16 +60,17 @@ def _quality() -> str:
     w = quality.WINDOW
     level = "CASE WHEN g.rows >= {m} THEN g.{q} WHEN l.rows >= {m} THEN l.{q} ELSE o.{q} END"
     limits = []
-    for m, (both, least) in quality.METRICS.items():
-        pick = {q: level.format(m=quality.MIN_GROUP, q=f"{m}_{q}") for q in ("q25", "q50", "q75")}
-        low = f"({pick['q50']}) - greatest({quality.REACH} * (({pick['q50']}) - ({pick['q25']})), {least})" if both else "0"
-        limits += [f"{low} AS {m}_low", f"({pick['q50']}) + greatest({quality.REACH} * (({pick['q75']}) - ({pick['q50']})), {least}) AS {m}_high"]
+    width = lambda q: f"(1::BIGINT << greatest(length(bin(({q})::BIGINT)) - 7, 0))"
+    for m, both in quality.METRICS.items():
+        bottom, q25, q50, q75, top = (f"({level.format(m=quality.MIN_GROUP, q=f'{m}_q{p}')})" for p in quality.PERCENTS)
+        low = f"{bottom} - {quality.TAIL_REACH} * ({q50} - {q25}) - {width(bottom)}" if both else "0"
+        limits += [f"{low} AS {m}_low", f"{top} + {quality.TAIL_REACH} * ({q75} - {q50}) + {width(top)} AS {m}_high"]
 
     def level_sql(keys: str) -> str:
         comma = f"{keys}, " if keys else ""
         by = f"PARTITION BY {comma}metric"
         picks = ", ".join(
-            f"min(CASE WHEN metric = '{m}' AND 100 * seen >= {p} * rows THEN bucket END) AS {m}_q{p}" for m in quality.METRICS for p in (25, 50, 75)
+            f"min(CASE WHEN metric = '{m}' AND 100 * seen >= {p} * rows THEN bucket END) AS {m}_q{p}" for m in quality.METRICS for p in quality.PERCENTS
         )
         return f"""SELECT {comma}max(rows) AS rows, {picks} FROM (
   SELECT {comma}metric, bucket, sum(n) OVER ({by} ORDER BY bucket) AS seen, sum(n) OVER ({by}) AS rows
@@ -85,9 +86,10 @@ counts AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
-    coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM words LEFT JOIN covered USING (doc_id)),
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::BIGINT AS n_lines FROM words LEFT JOIN covered USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
-    1000 * n_dup_lines // greatest(n_words, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_len FROM counts),
+    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_len FROM counts),
 metrics AS (UNPIVOT (SELECT lang, source, {", ".join(quality.METRICS)} FROM m WHERE NOT base_failed) ON {", ".join(quality.METRICS)} INTO NAME metric VALUE v),
 sketch AS (SELECT lang, source, metric, (v::BIGINT >> greatest(length(bin(v::BIGINT)) - 7, 0)) << greatest(length(bin(v::BIGINT)) - 7, 0) AS bucket, count(*) AS n FROM metrics GROUP BY ALL),
 grouped AS ({level_sql("lang, source")}), langs AS ({level_sql("lang")}), overall AS ({level_sql("")}),
