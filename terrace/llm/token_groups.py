@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, keyed_texts, rolling, text_key, texts_of, word_hashes
+from terrace.llm.common import checkpoint, chunks, keyed_texts, rolling, small_side, text_key, texts_of, word_hashes
 from terrace.llm.components import connected_components
 
 #: Most tokens in the list of widespread tokens: 8 MB, the bound of what is sent to every task.
@@ -380,12 +380,25 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Columns and their order are those of ``docs``.
     """
     rows, roots = set_classes(docs, width, percent)
+    filled = rows.filter("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    own = rows.filter("n > 0").groupBy("cls").agg(F.min(order).alias("one")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    kept = own.groupBy(F.coalesce("root", "cls").alias("grp")).agg(F.min("one").alias("one"))
-    kept = kept.select(F.col("one.doc_id").alias("__kept_id"), F.col("one.text_key").alias("__kept_key"))
-    marked = docs.withColumn("__key", text_key(F.col("text")))
-    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    same = (F.col("__key") == F.col("__kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id"))
-    chosen = marked.filter(~wordless).join(kept, same).dropDuplicates(["__kept_id", "__kept_key"])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(wordless))
+    own = filled.groupBy("cls").agg(F.min(order).alias("one")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    own = own.select("cls", "one", F.coalesce("root", "cls").alias("grp"))
+    kept = own.groupBy("grp").agg(F.min("one").alias("kept"))
+    placed = filled.join(own.join(kept, "grp").select("cls", "kept"), "cls")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
+    names = []
+    for name in ("id", "key"):
+        while name in docs.columns:
+            name = f"_{name}"
+        names.append(name)
+    gone = small_side(placed.filter(~stays).select("doc_id", "text_key").distinct().toDF(*names))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (text_key(F.col("text")) == F.col(names[1]))
+    # the few rows that go are sent to the texts, which are not shuffled for it
+    left = docs.join(gone, same, "left_anti")
+    again = placed.filter(stays).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = small_side(again.toDF(*names))
+    if again.isEmpty():
+        return left
+    once = left.join(again, same).dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -79,3 +79,15 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert tg.ngram_jaccard_components(docs).collect() == []
     assert tg.keep_one_per_group(docs).collect() == []
+
+
+def test_one_of_each_group_stays_whatever_the_columns_are_called(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, long, 7, 8, 9), (3, long, 7, 8, 9), (3, long, 7, 8, 9), (None, long, 7, 8, 9), (9, long + " more", 7, 8, 9), (1, "", 7, 8, 9), (1, "", 7, 8, 9), (2, None, 7, 8, 9), (8, "alone here", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, key int, __key int")
+    kept = tg.keep_one_per_group(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = sorted(kept.collect(), key=repr)
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, long), (1, ""), (1, ""), (2, None), (8, "alone here")], key=lambda r: (r[0], str(r[1])))
+    assert {(r.id, r["key"], r["__key"]) for r in got} == {(7, 8, 9)}
+    assert tg.keep_one_per_group(docs.filter("false"), 5, 80).isEmpty()
