@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from terrace.scale import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["WHITE", "checkpoint", "chunks", "keyed_texts", "mix", "rolling", "shared_path", "small_side", "text_key", "texts_of", "word_hashes"]
+__all__ = [
+    "WHITE", "apart", "checkpoint", "chunks", "fresh", "keyed_texts", "mix", "put_back", "rolling", "shared_path", "small_side", "text_key", "texts_of",
+    "word_hashes",
+]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a regular expression class body.
 WHITE = r"\x20\x09-\x0D"
@@ -34,6 +37,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def apart(docs: DataFrame, needed: tuple[str, ...], **made: Column) -> DataFrame:
+    """``docs`` with columns other than ``needed`` renamed by their place, and the columns ``made`` added.
+
+    No column of the caller can then have the name of a work column or of a result; ``put_back`` names them again.
+    """
+    names = [c if c in needed else f"__user_{i}" for i, c in enumerate(docs.columns)]
+    # names are given by place, as two of the caller's may differ only in case
+    return docs.select("*", *[v.alias(k) for k, v in made.items()]).toDF(*names, *made)
+
+
+def put_back(result: DataFrame, docs: DataFrame, added: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` but ``without``, from a ``result`` over ``apart(docs, ...)``, and those ``added``, which replace columns of their names."""
+    left_out = {a.lower() for a in (*added, *without)}
+    have = set(result.columns)
+    places = [(f"__user_{i}" if f"__user_{i}" in have else c, c) for i, c in enumerate(docs.columns) if c.lower() not in left_out]
+    return result.select(*[F.col(f"`{c}`") for c, _ in places], *added).toDF(*[name for _, name in places], *added)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text; null and empty texts differ."""
     return F.xxhash64(text.isNull(), text)

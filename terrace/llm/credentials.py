@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, small_side, text_key
+from terrace.llm.common import apart, checkpoint, put_back, small_side, text_key
 
 # Kind -> (pattern, group whose length counts, least length).
 STRONG = {
@@ -115,11 +115,9 @@ def find_credentials(docs: DataFrame) -> DataFrame:
     linked once per distinct text; one text may hold any number of parts; an empty
     table gives an empty one; columns of these names that ``docs`` has are replaced.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "spans")]
-    keyed = docs.select(F.coalesce("text", F.lit("")).alias("__scan"), *keep)
     # texts without a candidate for a link need no join: a weak part and another role
-    scanned = scan_parts(keyed, "__scan").withColumn(
-        "__key", F.when((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1), text_key(F.col("__scan")))
+    scanned = scan_parts(apart(docs, ("text",))).withColumn(
+        "__key", F.when((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1), text_key(F.coalesce("text", F.lit(""))))
     )
     parts = (
         scanned.filter(F.col("__key").isNotNull())
@@ -134,7 +132,8 @@ def find_credentials(docs: DataFrame) -> DataFrame:
     side = F.coalesce("__key", F.xxhash64(F.monotonically_increasing_id(), F.lit("none")))
     joined = scanned.withColumn("__key", side).join(small_side(links), F.col("__key") == F.col("__link_key"), "left")
     clear = F.filter(F.coalesce("__links", F.array().cast("array<struct<kind:string,start:int,end:int>>")), _clear_of_strong)
-    return joined.select(*keep, _ordered(F.col("strong")).alias("base_spans"), _ordered(F.concat("strong", clear)).alias("spans"))
+    result = joined.withColumns({"base_spans": _ordered(F.col("strong")), "spans": _ordered(F.concat("strong", clear))})
+    return put_back(result, docs, ("base_spans", "spans"))
 
 
 def _clear_of_strong(w: Column) -> Column:
@@ -146,8 +145,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced by one mark.  Columns and their order stay.
     """
-    tagged = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns], F.col("text"))
-    found = find_credentials(tagged)
+    found = find_credentials(apart(docs, ("text", "n_chars")))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -160,12 +158,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         F.size("spans") > 0, F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     ).otherwise(text)
     found = found.withColumn("__clean", clean)
-    out = []
-    for c in docs.columns:
-        kept = F.col(f"`__doc_{c}`")
-        if c == "text":
-            kept = F.col("__clean")
-        elif c == "n_chars":
-            kept = F.when(F.size("spans") > 0, F.length("__clean")).otherwise(kept).cast(docs.schema[c].dataType)
-        out.append(kept.alias(c))
-    return found.select(*out)
+    if "n_chars" in docs.columns:
+        length = F.when(F.size("spans") > 0, F.length("__clean")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return put_back(found.withColumn("text", F.col("__clean")), docs)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, filesystem, make_folder, mix, put_file, shared_path, word_hashes
+from terrace.llm.common import checkpoint, chunks, filesystem, fresh, make_folder, mix, put_file, shared_path, word_hashes
 
 #: Hashes of the marks before the first and after the last word; no word has them but by a hash collision.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -344,16 +344,16 @@ def _unigram_spread(model: Model) -> float:
     return float(n[1:] @ np.array(model.discounts[0]) / model.lower_total)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = model.tokens + 0.5 * (model.words + 1)
         for batch in batches:
-            for part in chunks(batch, "__text"):
-                grams, sizes = _sequences(part.column("__text").to_pylist(), model.order)
+            for part in chunks(batch, text):
+                grams, sizes = _sequences(part.column(text).to_pylist(), model.order)
                 p, raw = token_scores(model, grams)
                 edges = np.cumsum(sizes) - sizes
                 sums = [np.add.reduceat(x, edges) for x in ((raw > 0).astype(np.int64), np.log10((raw + 0.5) / floor), np.log10(p))]
-                rest = [i for i, c in enumerate(part.schema.names) if c != "__text"]
+                rest = [i for i, c in enumerate(part.schema.names) if c != text]
                 columns = [*[part.column(i) for i in rest], pa.array(sizes), *[pa.array(s) for s in sums]]
                 yield pa.RecordBatch.from_arrays(columns, [*[part.schema.names[i] for i in rest], "n_tokens", "n_known", "base_score", "score"])
 
@@ -373,5 +373,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added = ["n_tokens", "n_known", "base_score", "score"]
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, "perplexity")])
     schema = rest.withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}).schema
-    out = rest.withColumn("__text", F.col(f"`{text}`").cast("binary")).mapInArrow(_scorer(model), schema)
+    work = fresh(rest, "__text")
+    out = rest.withColumn(work, F.col(f"`{text}`").cast("binary")).mapInArrow(_scorer(model, work), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

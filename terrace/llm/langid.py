@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks
+from terrace.llm.common import checkpoint, chunks, fresh
 
 #: Labelled documents of a language that the model is fitted on, about.
 DOCS_PER_LANGUAGE = 4000
@@ -174,13 +174,13 @@ class _Scorer:
         return langs, scores
 
 
-def _predictor(sent):
+def _predictor(sent, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            for part in chunks(batch, "__text", 2 << 20):
-                langs, scores = scorer.predict(part.column("__text").to_pylist())
-                rest = [i for i, c in enumerate(part.schema.names) if c != "__text"]
+            for part in chunks(batch, text, 2 << 20):
+                langs, scores = scorer.predict(part.column(text).to_pylist())
+                rest = [i for i, c in enumerate(part.schema.names) if c != text]
                 columns = [*[part.column(i) for i in rest], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*[part.schema.names[i] for i in rest], "lang_pred", "score"])
 
@@ -198,4 +198,5 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ENTRIES for each language
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     schema = rest.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).schema
-    return rest.withColumn("__text", F.col(f"`{text}`")).mapInArrow(_predictor(sent), schema)
+    work = fresh(rest, "__text")
+    return rest.withColumn(work, F.col(f"`{text}`")).mapInArrow(_predictor(sent, work), schema)

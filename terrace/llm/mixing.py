@@ -16,11 +16,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WHITE, checkpoint, small_side
+from terrace.llm.common import WHITE, apart, checkpoint, put_back, small_side
 
 
 DIMS = ["source", "lang", "topic"]
 NAMES = [f"__{d}" for d in DIMS]
+#: Columns of the documents that the mix reads.
+NEEDED = ("doc_id", "text", "source", "lang")
 
 
 def word_count(text: Column) -> Column:
@@ -143,12 +145,15 @@ def _scaled(cells: DataFrame, dim: str, dims: list[str]) -> DataFrame:
     return cells.withColumn("rate", F.col("rate") * F.col("__by")).drop("__seen", "__f", "__by")
 
 
-def _counted(docs: DataFrame, topic: Column | None) -> DataFrame:
-    topic = layout_topic(F.col("text")) if topic is None else topic
-    facts = F.struct(
-        _label(F.col("source")).alias("__source"), _label(F.col("lang")).alias("__lang"), _label(topic).alias("__topic"), word_count(F.col("text")).alias("__n")
+def _facts(docs: DataFrame, topic: Column | None) -> DataFrame:
+    return apart(docs, NEEDED, __given=layout_topic(F.col("text")) if topic is None else topic)
+
+
+def _counted(facts: DataFrame) -> DataFrame:
+    labels = F.struct(
+        _label(F.col("source")).alias("__source"), _label(F.col("lang")).alias("__lang"), _label(F.col("__given")).alias("__topic"), word_count(F.col("text")).alias("__n")
     )
-    return docs.select("*", F.inline(F.array(facts)))
+    return facts.select("*", F.inline(F.array(labels)))
 
 
 def _raked(counted: DataFrame, powers: Mapping[str, float], budget: float, targets: Mapping[str, DataFrame] | None) -> DataFrame:
@@ -169,7 +174,7 @@ def margin_report(
     ``reachable`` is below ``target`` for a value that holds fewer tokens than its
     target asks for, and above it for the others then; ``expected`` is what the sample has.
     """
-    cells = _raked(_counted(docs, topic), powers, budget, targets)
+    cells = _raked(_counted(_facts(docs, topic)), powers, budget, targets)
     rows = [
         F.struct(F.lit(d).alias("dim"), F.when(F.col(n) != "~", F.substr(F.col(n), F.lit(2))).alias("value"), "tokens", F.col(f"target_{n}").alias("target"),
                  F.col(f"wanted_{n}").alias("wanted"), (F.col("tokens") * F.col("probability")).alias("expected"))
@@ -208,21 +213,18 @@ def mixed(
     empty texts have no tokens, probability 0 and are not selected; an empty table
     gives an empty one; columns named as the result's are replaced.
     """
-    added = ("topic", "n_tokens", "probability", "selected")
-    counted = _counted(docs, topic)
+    counted = _counted(_facts(docs, topic))
     rates = _raked(counted, powers, budget, targets).select(*NAMES, F.col("probability").alias("__p"))
     rates = small_side(rates)
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     p = F.when(F.col("__n") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(0.0)
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     shown = F.when(F.col("__topic") != "~", F.substr(F.col("__topic"), F.lit(2)))
-    return counted.join(rates, NAMES, "left").select(
-        *keep, shown.alias("topic"), F.col("__n").alias("n_tokens"), p.alias("probability"), (uniform < p).alias("selected")
+    result = counted.join(rates, NAMES, "left").withColumns(
+        {"topic": shown, "n_tokens": F.col("__n"), "probability": p, "selected": uniform < p}
     )
+    return put_back(result, docs, ("topic", "n_tokens", "probability", "selected"))
 
 
 def sampled(docs: DataFrame, powers: Mapping[str, float], budget: float, seed: int = 0) -> DataFrame:
     """The selected documents of ``mixed``, with the columns of ``docs``."""
-    tagged = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns], "doc_id", "text", "source", "lang")
-    chosen = mixed(tagged, powers, budget, seed).filter("selected")
-    return chosen.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
+    return put_back(mixed(apart(docs, NEEDED), powers, budget, seed).filter("selected"), docs)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, keyed_texts, mix, rolling, small_side, text_key, texts_of, word_hashes
+from terrace.llm.common import apart, checkpoint, chunks, keyed_texts, mix, put_back, rolling, small_side, text_key, texts_of, word_hashes
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
 
@@ -248,13 +248,13 @@ def without_repeats(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spans = spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans")
     same = (text_key(F.col("text")) == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    joined = docs.join(spans, same, "left")
+    joined = apart(docs, ("doc_id", "text", "n_chars")).join(spans, same, "left")
     text, start = F.col("text"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     piece = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
     cut = F.aggregate("__spans", start, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"])).alias("out")),
                       lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("long"))))
     joined = joined.withColumn("__text", F.when(F.col("__spans").isNull(), text).otherwise(cut))
-    new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        length = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text"))
+        joined = joined.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return put_back(joined.withColumn("text", F.col("__text")), docs)

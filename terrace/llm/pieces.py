@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import chunks, mix
+from terrace.llm.common import chunks, fresh, mix
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
@@ -265,15 +265,15 @@ def _with_bytes(model: PieceModel, flat: np.ndarray, owner: np.ndarray) -> tuple
     return out, np.repeat(owner, widths)
 
 
-def _encoder(path: str, rate: float, name: str):
+def _encoder(path: str, rate: float, name: str, text: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
         for batch in batches:
-            for part in chunks(batch, "__text", 1 << 20):
-                keys = part.column("__key").to_numpy(zero_copy_only=False).view(np.uint64)
-                ids, edges = encode_texts(model, part.column("__text").to_pylist(), keys, rate)
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()), mask=part.column("__text").is_null())
-                rest = [i for i, c in enumerate(part.schema.names) if c not in ("__text", "__key")]
+            for part in chunks(batch, text, 1 << 20):
+                keys = part.column(key).to_numpy(zero_copy_only=False).view(np.uint64)
+                ids, edges = encode_texts(model, part.column(text).to_pylist(), keys, rate)
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()), mask=part.column(text).is_null())
+                rest = [i for i, c in enumerate(part.schema.names) if c not in (text, key)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in rest], lists], [*[part.schema.names[i] for i in rest], name])
 
     return run
@@ -296,9 +296,10 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.0, seed: int = 0
     keep = [c for c in (carry if carry is not None else docs.columns) if c != ids]
     own = [F.col("doc_id").cast("string")] if "doc_id" in docs.columns else []
     key = F.xxhash64(F.lit(seed), *own, F.col(f"`{text}`"))
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"), key.alias("__key"))
+    work = fresh(docs, "__text"), fresh(docs, "__key")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(work[0]), key.alias(work[1]))
     schema = source.select(*[F.col(f"`{c}`") for c in keep]).withColumn(ids, F.lit(None).cast("array<int>")).schema
-    return source.mapInArrow(_encoder(model_path, float(dropout), ids), schema)
+    return source.mapInArrow(_encoder(model_path, float(dropout), ids, *work), schema)
 
 
 def _decoder(path: str, ids: str, name: str):

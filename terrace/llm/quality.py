@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WHITE, checkpoint, small_side
+from terrace.llm.common import WHITE, apart, checkpoint, put_back, small_side
 
 #: Rows from which a group's own sketch is used.
 MIN_GROUP = 50
@@ -185,12 +185,13 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, carry_text: bool = True)
     are judged alike; an empty table gives an empty one; columns named as the
     result's are replaced.
     """
-    counted = text_counts(docs.drop("base_failed", "kept"))
-    return judge(counted if carry_text else checkpoint(counted.drop("text")), min_group)
+    added = (*COUNTS, *MORE_COUNTS, "base_failed", "kept")
+    docs = docs.drop(*added)
+    counted = text_counts(apart(docs, ("text", "lang", "source")))
+    verdicts = judge(counted if carry_text else checkpoint(counted.drop("text")), min_group)
+    return put_back(verdicts, docs, added, () if carry_text else ("text",))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    tagged = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns], "text", "lang", "source")
-    kept = judged(tagged).filter("kept")
-    return kept.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
+    return put_back(judged(apart(docs, ("text", "lang", "source"))).filter("kept"), docs)
