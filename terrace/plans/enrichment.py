@@ -392,7 +392,7 @@ def agg_coverage(spark, sf_dir):
         """
 known AS (SELECT DISTINCT name AS team FROM clubs),
 aliases AS (SELECT lower(translate(team, 'áé', 'ae')) AS alias, target FROM manual),
-ext AS (SELECT j, v, CASE WHEN v % 2 = 0 THEN upper(team) ELSE team END AS name, (SELECT any_value(name) FROM clubs WHERE cid = j) AS short FROM teams WHERE v IN (4, 6, 7))""",
+ext AS (SELECT j, v, CASE WHEN v % 2 = 0 THEN upper(team) ELSE team END AS name, (SELECT any_value(name) FROM clubs WHERE cid = j) AS short FROM teams)""",
         select="""
 SELECT e.name, coalesce(k1.team, a1.target, k2.team, a2.target) AS team FROM ext e
 LEFT JOIN known k1 ON k1.team = e.name
@@ -405,7 +405,7 @@ def join_alias(spark, sf_dir):
     teams, clubs, manual, _ = name_fixture(spark, sf_dir)
     known = clubs.select(F.col("name").alias("team")).distinct()
     aliases = manual.select(F.lower(text.fold_ascii(F.col("team"))).alias("alias"), "target")
-    ext = teams.filter("v in (4, 6, 7)").join(clubs.select(F.col("cid").alias("j"), F.col("name").alias("short")), "j", "left")
+    ext = teams.join(clubs.select(F.col("cid").alias("j"), F.col("name").alias("short")), "j", "left")
     ext = ext.select(F.when(F.col("v") % 2 == 0, F.upper("team")).otherwise(F.col("team")).alias("name"), "short")
     return resolve.alias_lookup(ext, known, aliases, ["name", "short"]).select("name", "team")
 
