@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -12,21 +14,21 @@ from pyspark.sql.types import DoubleType
 
 from terrace import fixed_values as V
 
-_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
-
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Letters that decompose to one ASCII character, and those that give several."""
+    """Characters whose full compatibility decomposition has one ASCII character, and those that give several.
+
+    A character's ASCII part does not depend on its neighbours, so the tables cover every text.
+    """
     src, dst, multi = [], [], {}
-    for lo, hi in _RANGES:
-        for cp in range(lo, hi + 1):
-            ascii_part = unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode()
-            if len(ascii_part) == 1:
-                src.append(chr(cp))
-                dst.append(ascii_part)
-            elif len(ascii_part) > 1:
-                multi[chr(cp)] = ascii_part
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        ascii_part = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(ascii_part) == 1:
+            src.append(c)
+            dst.append(ascii_part)
+        elif len(ascii_part) > 1:
+            multi[c] = ascii_part
     return "".join(src), "".join(dst), multi
 
 
@@ -34,8 +36,9 @@ def fold_ascii(text: Column) -> Column:
     """Strip accents; characters without an ASCII part are dropped."""
     src, dst, multi = _fold_tables()
     single = F.translate(F.coalesce(text, F.lit("")), src, dst)
-    several = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
-    spread = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    several = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")  # one literal once the plan is optimised
+    letters = F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0))
+    spread = F.array_join(F.transform(letters, lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(several, c), c)).otherwise(c)), "")
     folded = F.when(single.rlike(r"[^\x00-\x7F]"), spread).otherwise(single)
     return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
 

@@ -107,7 +107,7 @@ def parity_report(train: DataFrame, serve: DataFrame, features: list[str]) -> Da
 
     def stats(df: DataFrame, tag: str) -> DataFrame:
         m = melt(df, features, [])
-        ok = F.col("value").isNotNull() & ~F.isnan("value")
+        ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
         v = F.when(ok, F.col("value"))
         return m.groupBy("feature").agg(F.min(v).alias(f"{tag}_min"), F.max(v).alias(f"{tag}_max"), F.count(F.when(~ok, 1)).alias(f"{tag}_bad"))
 

@@ -45,7 +45,10 @@ def rolling_score(settled: DataFrame, size: str = "1 day", slide: str | None = N
 
 
 def append_once(path: str):
-    """A foreachBatch sink that never logs a match id twice, also when a batch is retried."""
+    """A foreachBatch sink that never logs a match id twice, also when a batch is retried.
+
+    Only a log that is not there yet counts as empty; any other failure to read it ends the batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from pyspark.errors import AnalysisException
@@ -53,7 +56,9 @@ def append_once(path: str):
         spark = batch.sparkSession
         try:
             log = spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             log = spark.createDataFrame([], "match_id long")
         forecast_log.append_new(log, batch).write.mode("append").parquet(path)
 
