@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -61,20 +62,15 @@ def to_double(text: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), t.cast("double"))
 
 
-def substrings(text: Column, shortest: int = 1) -> Column:
-    """Distinct substrings of a (short) name."""
+def grams(text: Column, widths: Sequence[int]) -> Column:
+    """Distinct runs of each of ``widths`` characters; as many as the text is long for each width."""
     n = F.length(text)
-    starts = F.sequence(F.lit(1), n)
-    every = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(shortest), F.greatest(n - i + 1, F.lit(shortest))),
-                lambda width: F.substring(text, i, width),
-            ),
-        )
-    )
-    return F.when(n > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(width: int) -> Column:
+        return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.substring(text, i, width))).otherwise(none)
+
+    return F.array_distinct(F.concat(*map(runs, widths)))
 
 
 def trigrams(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Entity resolution: our team names to candidate clubs inside a block.
 
 Tiers: hand map, known-absent, exact, unique containment, strict similarity.
-Nothing is paired with everything: containment is an equi-join on substrings with
-candidates counted per substring first, and similarity candidates must share a
-trigram, which any pair at 0.90 or above does.
+Nothing is paired with everything: containment looks the shorter name up by its rarest
+run of characters, and similarity candidates must share one of their rarest trigrams,
+which any pair at 0.90 or above does.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
-from terrace.functions.text import fold_ascii, name_similarity, normalize_name, substrings, trigrams
+from terrace.functions.text import fold_ascii, grams, name_similarity, normalize_name, trigrams
 from terrace.scale import checkpoint
 
 SIMILARITY_FLOOR = 0.90
+#: Widths of the runs by which a contained name is looked up.
+ANCHORS = (1, 2, 3, 6, 12)
 
 
 def _names(teams: DataFrame, drop_tokens: str) -> DataFrame:
@@ -46,34 +48,70 @@ def exact_hits(names: DataFrame, clubs: DataFrame) -> DataFrame:
     return names.join(keyed.filter("c = 1"), ["block", "n"]).select("block", "team", "cid")
 
 
+def _anchored(shorts: DataFrame, longs: DataFrame) -> DataFrame:
+    """(block, short, long): the longs that contain a short, for distinct (block, short) and (block, long).
+
+    A short is looked up by one run of characters only: of its runs of the widest of
+    ANCHORS that it can have, the one that fewest longs hold.  A long has a key for each
+    place and width, so keys grow with the length of a name, not with its square.
+    """
+    widest = F.lit(ANCHORS[0])
+    for w in ANCHORS[1:]:
+        widest = F.when(F.length("short") >= w, w).otherwise(widest)
+    keys = longs.select("block", "long", F.explode(grams(F.col("long"), ANCHORS)).alias("g"))
+    held = keys.groupBy("block", "g").agg(F.count("*").alias("held"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("short") - F.col("w") + 1), lambda i: F.substring("short", i, F.col("w")))
+    tried = shorts.filter("short <> ''").withColumn("w", widest).select("block", "short", F.explode(F.array_distinct(runs)).alias("g"))
+    # a run that no long holds rules the short out
+    counted = tried.join(held, ["block", "g"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    anchors = counted.groupBy("block", "short").agg(F.min(F.struct("held", "g")).alias("a")).filter("a.held > 0").select("block", "short", "a.g")
+    return anchors.join(keys, ["block", "g"]).filter(F.col("long").contains(F.col("short"))).select("block", "short", "long")
+
+
 def containment_hits(names: DataFrame, clubs: DataFrame) -> DataFrame:
     """Names where exactly one candidate contains the name or is contained in it."""
     names = names.filter(F.col("n") != "")
     per_name = clubs.filter(F.col("nn") != "").groupBy("block", "nn").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
-    inside = per_name.withColumn("n", F.explode(substrings(F.col("nn"))))
-    inside = inside.groupBy("block", "n").agg(F.sum("c").alias("c"), F.min("cid").alias("cid"))
-    wider = names.join(inside, ["block", "n"]).select("block", "team", "c", "cid")
-    parts = names.select("block", "team", "n", F.explode(substrings(F.col("n"))).alias("nn")).filter("nn <> n")
-    narrower = parts.join(per_name, ["block", "nn"]).select("block", "team", "c", "cid")
-    total = wider.unionByName(narrower).groupBy("block", "team").agg(F.sum("c").alias("c"), F.min("cid").alias("cid"))
-    return total.filter("c = 1").select("block", "team", "cid")
+    own = names.select("block", "n").distinct()
+    known = per_name.select("block", "nn")
+    around = _anchored(own.withColumnRenamed("n", "short"), known.withColumnRenamed("nn", "long")).toDF("block", "n", "nn")
+    within = _anchored(known.withColumnRenamed("nn", "short"), own.withColumnRenamed("n", "long")).toDF("block", "nn", "n").filter("nn <> n")
+    total = around.unionByName(within).join(per_name, ["block", "nn"]).groupBy("block", "n").agg(F.sum("c").alias("c"), F.min("cid").alias("cid"))
+    return names.join(total.filter("c = 1"), ["block", "n"]).select("block", "team", "cid")
+
+
+def _rare_grams(strings: DataFrame, held: DataFrame, floor: float) -> DataFrame:
+    """(block, s, g): the rarest trigrams of each string, as many as a partner of ``floor`` or more can lack, and one more.
+
+    With lengths a and b, at most (1 - floor) * (a + b) characters of the two are outside the matched blocks and
+    b <= a * (2 / floor - 1).  A character outside destroys three trigrams at most, so the
+    rarest trigram that both have is among these of either one.
+    """
+    each = strings.select("block", "s", F.explode(trigrams(F.col("s"))).alias("g")).join(held, ["block", "g"], "left")
+    ranked = each.groupBy("block", "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "g"))).alias("gs"))
+    lacked = 3 * F.floor(F.length("s") * (2.0 * (1.0 - floor) / floor) + 1e-9).cast("int")
+    return ranked.select("block", "s", F.explode(F.slice("gs", F.lit(1), lacked + 1)).alias("x")).select("block", "s", "x.g")
 
 
 def similarity_hits(names: DataFrame, clubs: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
     """Best candidate at or above ``floor``; ties go to the smallest id.
 
     Two strings this similar always share a run of three characters and have
-    lengths within 2/floor - 1 of each other, so the trigram join loses nothing.
+    lengths within 2/floor - 1 of each other, so the join on their rarest trigrams loses
+    nothing; the trigrams that most names share are never joined on.
     """
-    a = names.filter(F.col("n") != "").withColumn("g", F.explode(trigrams(F.col("n"))))
-    b = clubs.filter(F.col("nn") != "").withColumn("g", F.explode(trigrams(F.col("nn"))))
+    own = names.filter(F.col("n") != "").select("block", F.col("n").alias("s")).distinct()
+    per_name = clubs.filter(F.col("nn") != "").groupBy("block", F.col("nn").alias("s")).agg(F.min("cid").alias("cid"))
+    held = per_name.select("block", F.explode(trigrams(F.col("s"))).alias("g")).groupBy("block", "g").agg(F.count("*").alias("held"))
+    a = _rare_grams(own, held, floor).withColumnRenamed("s", "n")
+    b = _rare_grams(per_name, held, floor).withColumnRenamed("s", "nn")
     la, lb = F.length("n"), F.length("nn")
     near = 2.0 * F.least(la, lb) / (la + lb) >= floor
-    pairs = a.join(b, ["block", "g"]).filter(near).select("block", "team", "n", "cid", "nn").distinct()
+    pairs = a.join(b, ["block", "g"]).filter(near).select("block", "n", "nn").distinct()
     scored = pairs.withColumn("score", name_similarity("n", "nn")).filter(F.col("score") >= floor)
     first = F.min(F.struct((-F.col("score")).alias("s"), F.col("cid")))
-    best = scored.groupBy("block", "team").agg(first.alias("b"))
-    return best.select("block", "team", F.col("b.cid").alias("cid"), (-F.col("b.s")).alias("score"))
+    best = scored.join(per_name.withColumnRenamed("s", "nn"), ["block", "nn"]).groupBy("block", "n").agg(first.alias("b"))
+    return names.join(best, ["block", "n"]).select("block", "team", F.col("b.cid").alias("cid"), (-F.col("b.s")).alias("score"))
 
 
 def resolve_names(
