@@ -37,13 +37,15 @@ def _with_cells(df: DataFrame, line: str, width: int, out: str) -> DataFrame:
 def headed_rows(lines: DataFrame, header_marker: str, width: int | None = None, file: str = "file") -> DataFrame:
     """Lines with ``row``: a map from the file's header names to this line's values.
 
-    ``header_marker`` is a pattern only header lines match.  ``width``: cells that
+    ``header_marker`` is a pattern only header lines match; of several in a file the one with the
+    lowest line_no (without such a column: the smallest) names the values.  ``width``: cells that
     are read of a line with quotes; without it the headers are read first and
     the widest one's count is taken, so that no named cell is lost.
     """
     clean = lines.withColumn("value", F.regexp_replace("value", "^﻿|[\r\n]+$", "")).filter(F.trim("value") != "")
     is_header = F.col("value").rlike(header_marker)
-    heads = clean.filter(is_header).groupBy(file).agg(F.first("value").alias("_head"))
+    first = F.min_by("value", "line_no") if "line_no" in lines.columns else F.min("value")
+    heads = clean.filter(is_header).groupBy(file).agg(first.alias("_head"))
     if width is None:
         width = (heads.agg(F.max(F.regexp_count("_head", F.lit(",")))).first()[0] or 0) + 1
     named = F.filter(
