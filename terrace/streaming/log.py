@@ -34,14 +34,37 @@ def settle(forecasts: DataFrame, results: DataFrame, horizon: str = "30 days", d
     )
 
 
-def rolling_score(settled: DataFrame, size: str = "1 day", slide: str | None = None, delay: str = "1 day", league: str = "competition") -> DataFrame:
-    """Accuracy and RPS per league over tumbling (or sliding) settlement windows."""
+def _panes(settled: DataFrame, size: str, delay: str, league: str) -> DataFrame:
+    """Counts, hits and summed RPS per league and tumbling settlement window."""
     y = metrics.label_class(F.col("actual"))
-    hit = F.when(metrics.pick_label() == F.col("actual"), 1.0).otherwise(0.0)
-    w = F.window("settled_at", size, slide) if slide else F.window("settled_at", size)
-    g = settled.withWatermark("settled_at", delay).filter(F.col("actual").isNotNull()).groupBy(w, league)
-    out = g.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(metrics.rps(y)).alias("rps"))
-    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), league, "n", "accuracy", "rps")
+    hit = F.when(metrics.pick_label() == F.col("actual"), 1).otherwise(0)
+    known = settled.withWatermark("settled_at", delay).filter(F.col("actual").isNotNull())
+    sums = [F.count("*").alias("n"), F.sum(hit).alias("hits"), F.sum(metrics.rps(y)).alias("rps")]
+    return known.groupBy(F.window("settled_at", size), league).agg(*sums)
+
+
+def _means(sums: DataFrame, league: str) -> DataFrame:
+    return sums.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), league, "n",
+        (F.col("hits") / F.col("n")).alias("accuracy"), (F.col("rps") / F.col("n")).alias("rps"),
+    )
+
+
+def rolling_score(settled: DataFrame, size: str = "1 day", delay: str = "1 day", league: str = "competition") -> DataFrame:
+    """Accuracy and RPS per league over tumbling settlement windows."""
+    return _means(_panes(settled, size, delay, league), league)
+
+
+def sliding_score(settled: DataFrame, span: str = "7 days", pane: str = "1 day", delay: str = "1 day", league: str = "competition") -> DataFrame:
+    """Accuracy and RPS per league over windows of ``span`` that move on by a ``pane``.
+
+    Two stateful steps: records are summed to panes once, and closed panes are added to
+    the windows that hold them, so a record is never copied into every window.  A window
+    appears once the watermark has passed its end.
+    """
+    panes = _panes(settled, pane, delay, league)
+    slid = panes.groupBy(F.window(F.window_time("window"), span, pane), league)
+    return _means(slid.agg(*[F.sum(c).alias(c) for c in ("n", "hits", "rps")]), league)
 
 
 def append_once(path: str):

@@ -2,20 +2,21 @@
 
 State per component: one map entry per team and a buffer of results newer than the
 watermark.  Results are folded in (date, sequence) order once the watermark passes
-them, so the stream gives the batch ratings; results later than the watermark are
-dropped by Spark and counted in the query's progress, and a batch rebuild picks
-them up.
+them, so the stream gives the batch ratings.  A result that arrives after its day was
+folded is not lost: it comes out at once, marked ``late`` and without ratings, for a
+side table from which a batch rebuild picks it up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from terrace import fixed_values as V
 from terrace.operators.ratings import RATED, STATE_DDL, RatingParams, rate_one
@@ -26,8 +27,25 @@ _DAY_MS = 86_400_000
 _TEAM_VALUE = STATE_DDL.split(",", 1)[1].strip()
 _ROW = "competition string, home_team string, away_team string, home_score int, away_score int"
 OUTPUT = StructType(
-    [StructField("component", StringType()), StructField("match_id", LongType()), *[StructField(c, DoubleType()) for c in RATED]]
+    [
+        StructField("component", StringType()),
+        StructField("match_id", LongType()),
+        StructField("late", BooleanType()),
+        *[StructField(c, DoubleType()) for c in RATED],
+    ]
 )
+_DAY = "result_day"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Run streams with the state store the ratings need; the caller's setting comes back afterwards."""
+    before = spark.conf.get(PROVIDER_CONF, None)
+    spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER_CONF) if before is None else spark.conf.set(PROVIDER_CONF, before)
 
 
 class RatingsProcessor(StatefulProcessor):
@@ -65,25 +83,31 @@ class RatingsProcessor(StatefulProcessor):
             n, hg, ag = goals[comp]
             warm = n >= V.BASELINE_MIN_MATCHES
             bh, ba = (hg / n, ag / n) if warm else (V.BASE_HOME_GOALS, V.BASE_AWAY_GOALS)
-            rows.append([key[0], match_id, *rate_one(cache, day, home, away, hs, as_, bh, ba, self.params)])
+            rows.append([key[0], match_id, False, *rate_one(cache, day, home, away, hs, as_, bh, ba, self.params)])
             goals[comp] = [n + 1, hg + hs, ag + as_]
             self.buffer.removeKey((day, seq, match_id))
         for team, s in cache.items():
             self.teams.updateValue((team,), (*s[:5], float(s[5]), None if s[6] is None else float(s[6]), list(s[7])))
         for comp, g in goals.items():
             self.leagues.updateValue((comp,), tuple(g))
-        yield pd.DataFrame(rows, columns=["component", "match_id", *RATED])
+        yield pd.DataFrame(rows, columns=["component", "match_id", "late", *RATED])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = 0
+        watermark = timerValues.getCurrentWatermarkInMs()
+        newest, late = None, []
         for pdf in rows:
-            days = (pd.to_datetime(pdf["match_time"]) - pd.Timestamp("1970-01-01")).dt.days.tolist()
-            cols = [pdf[c].tolist() for c in ("match_seq", "match_id", "competition", "home_team", "away_team", "home_score", "away_score")]
-            for day, seq, mid, *rest in zip(days, *cols):
+            cols = [pdf[c].tolist() for c in (_DAY, "match_seq", "match_id", "competition", "home_team", "away_team", "home_score", "away_score")]
+            for day, seq, mid, *rest in zip(*cols):
+                if day * _DAY_MS < watermark:
+                    late.append([key[0], mid, True, *[None] * len(RATED)])
+                    continue
                 self.buffer.updateValue((day, seq, mid), (*rest[:3], int(rest[3]), int(rest[4])))
-                newest = max(newest, day)
-        self.handle.registerTimer((newest + 1) * _DAY_MS)
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+                newest = day if newest is None else max(newest, day)
+        if late:
+            yield pd.DataFrame(late, columns=OUTPUT.names).astype({c: "float64" for c in RATED})
+        if newest is not None:
+            self.handle.registerTimer((newest + 1) * _DAY_MS)
+        yield from self._release(key, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._release(key, timerValues.getCurrentWatermarkInMs())
@@ -95,13 +119,31 @@ class RatingsProcessor(StatefulProcessor):
 def streaming_ratings(results: DataFrame, components: DataFrame, delay: str = "1 day", params: RatingParams | None = None) -> DataFrame:
     """Ratings per match of a results stream with a ``match_time`` column.
 
-    ``components`` is the (small, one row per team) table from the batch job.  All
-    competitions of a component share its state, as in the batch fold.
+    ``components`` has one row per team, from the batch job.  All competitions of a
+    component share its state, as in the batch fold.  A team that is not in it belongs
+    to the component of its opponent; two such teams that meet begin a component of
+    their own, which a stream can't join to another one later.
+
+    The output holds one row per result: its ratings, or ``late`` and no ratings (see
+    ``on_time`` and ``late_results``).  Run the stream within ``state_store``.
     """
-    spark: SparkSession = results.sparkSession
-    spark.conf.set(PROVIDER_CONF, ROCKSDB)
-    keyed = results.withWatermark("match_time", delay).join(components.withColumnRenamed("team", "home_team"), "home_team", "left")
-    keyed = keyed.withColumn("component", F.coalesce("component", "home_team"))
+    timed = results.withWatermark("match_time", delay).withColumn(_DAY, F.unix_date(F.to_date("match_time")).cast("long"))
+    for side in ("home", "away"):
+        known = components.select(F.col("team").alias(f"{side}_team"), F.col("component").alias(f"{side}_component"))
+        timed = timed.join(known, f"{side}_team", "left")
+    component = F.coalesce("home_component", "away_component", F.least("home_team", "away_team"))
+    # Without its event time a row can't be dropped for being late; the processor sees it and marks it.
+    keyed = timed.withColumn("component", component).drop("match_time", "home_component", "away_component")
     return keyed.groupBy("component").transformWithStateInPandas(
         RatingsProcessor(params), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+
+
+def on_time(rated: DataFrame) -> DataFrame:
+    """The rated results of the output of ``streaming_ratings``."""
+    return rated.filter(~F.col("late")).drop("late")
+
+
+def late_results(rated: DataFrame) -> DataFrame:
+    """(component, match_id) of the results that came after their day was folded."""
+    return rated.filter("late").select("component", "match_id")

@@ -1,4 +1,4 @@
-"""Replaying a table as a date-ordered file stream, and running a stream to its end."""
+"""Replaying a table as date-ordered deliveries to a file stream, and running a stream to its end."""
 
 from __future__ import annotations
 
@@ -19,11 +19,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def write_slices(df: DataFrame, time: str, folder: str, cuts: list[str], heartbeat: dict | None = None) -> None:
-    """Write ``df`` as consecutive time slices, oldest first, then a late heartbeat row.
+def time_slices(df: DataFrame, time: str, cuts: list[str], heartbeat: dict | None = None) -> list[DataFrame]:
+    """``df`` as consecutive time slices, oldest first, then a far later heartbeat row.
 
     The heartbeat moves the watermark past the data, as live traffic would.
     """
+    parts = []
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = df
@@ -31,16 +32,32 @@ def write_slices(df: DataFrame, time: str, folder: str, cuts: list[str], heartbe
             part = part.filter(F.col(time) >= F.lit(lo).cast("timestamp"))
         if hi is not None:
             part = part.filter(F.col(time) < F.lit(hi).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        parts.append(part)
     if heartbeat:
         row = df.sparkSession.range(1).select(
             *[F.lit(heartbeat.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
         )
-        row.write.mode("append").parquet(folder)
+        parts.append(row)
+    return parts
 
 
-def read_slices(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def read_folder(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def run_slices(feeds: dict[str, list[DataFrame]], build: Callable[[], DataFrame], folder: str, each: Callable | None = None) -> str:
+    """Deliver the slices of all ``feeds`` (input folder -> slices) one after another.
+
+    After each delivery the stream of ``build`` is started from its checkpoint, takes all
+    new files as one batch and stops, as a scheduled job would; a slice may have any
+    number of files.  Returns the output path.
+    """
+    out = f"{folder}/out"
+    for step in zip(*feeds.values(), strict=True):
+        for path, part in zip(feeds, step):
+            part.write.mode("append").parquet(path)
+        out = run_to_end(build(), folder, each=each)
+    return out
 
 
 def run_to_end(df: DataFrame, folder: str, mode: str = "append", each: Callable | None = None, timeout: int | None = None) -> str:
