@@ -25,7 +25,7 @@ from terrace.llm.common import apart, checkpoint, chunks, keyed_texts, mix, put_
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
 
-#: Words of a paragraph at least; shorter ones are too common to mean anything.
+#: Words of a paragraph at least, where the caller names no other number.
 LEAST_WORDS = 16
 #: A breakpoint is a word whose hash is the smallest among this many on either side.
 RADIUS = 4
@@ -47,88 +47,150 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def breakpoints(words: np.ndarray) -> np.ndarray:
-    """Places where stretches may begin or end: local minima of a hash of two words, and both ends."""
-    n = len(words)
-    if n < 2:
-        return np.unique([0, n])
+def breakpoints(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where stretches may begin or end: local minima of a hash of two words, and both ends of every text.
+
+    ``words`` are those of all texts, one after another; ``offsets`` holds where each text begins, and the end.
+    """
+    n, sizes = len(words), np.diff(offsets)
     top = np.uint64(2**64 - 1)
-    value = np.full(n + 2 * RADIUS, top, np.uint64)
-    value[RADIUS : RADIUS + n - 1] = rolling(words, 2)
-    own = value[RADIUS : RADIUS + n]
+    own = np.append(rolling(words, 2), top)[:n]
+    own[offsets[1:][sizes > 0] - 1] = top  # no pair runs on into the next text
+    # texts stand RADIUS places apart, so that none sees the words of another
+    at = np.arange(n) + RADIUS * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    value = np.full(n + RADIUS * (len(sizes) + 1), top, np.uint64)
+    value[at] = own
     low = own < top
     for d in range(1, RADIUS + 1):
-        low &= (own < value[RADIUS - d : RADIUS - d + n]) & (own <= value[RADIUS + d : RADIUS + d + n])
-    return np.unique(np.concatenate([[0], np.flatnonzero(low), [n]]))
+        low &= (own < value[at - d]) & (own <= value[at + d])
+    return np.unique(np.concatenate([offsets, np.flatnonzero(low)]))
+
+
+def hashed_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data`` at ``starts`` to ``ends``, eight bytes of all words at a time."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(1))
+    left, at = np.arange(len(starts)), 0
+    while len(left):
+        rest = sizes[left] - at
+        own = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)
+        out[left] = mix(out[left] * np.uint64(0x9E3779B97F4A7C15) + (lanes[starts[left] + at] & own))
+        left, at = left[rest > 8], at + 8
+    return out
+
+
+class Paragraphs:
+    """Lines and stretches of many texts at once, as ranges over all their words."""
+
+    def __init__(self, texts: list[bytes | None], least_words: int):
+        texts = [x or b"" for x in texts]
+        joined = b"\n".join(texts).lower()
+        data = np.frombuffer(joined, np.uint8)
+        edge = np.diff((~_WHITE[data]).astype(np.int8), prepend=0, append=0)
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.least, self.words = least_words, hashed_words(joined, self.starts, self.ends)
+        self.begins = np.cumsum([0, *[len(x) + 1 for x in texts]])
+        self.offsets = np.searchsorted(self.starts, self.begins)
+        self.points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
+        self.breaks = np.flatnonzero(data == 10)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, end word) of the lines of enough words."""
+        line = np.searchsorted(self.breaks, self.starts)
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        last = np.append(first[1:], len(self.starts)) if len(first) else first
+        long = last - first >= self.least
+        return first[long], last[long]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, end word) of the shortest stretches of enough words from every breakpoint."""
+        cuts = breakpoints(self.words, self.offsets)
+        own_end = self.offsets[np.searchsorted(self.offsets, cuts, "right").clip(max=len(self.offsets) - 1)]
+        whole = cuts + self.least <= own_end
+        return cuts[whole], cuts[np.searchsorted(cuts, cuts[whole] + self.least)]
+
+    def owners(self, first: np.ndarray) -> np.ndarray:
+        """Which text each first word belongs to."""
+        return np.searchsorted(self.offsets, first, "right") - 1
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) in code points of the text."""
+        base = self.points[self.begins[self.owners(first)]]
+        return self.points[self.starts[first]] - base, self.points[self.ends[last - 1]] - base
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        data = self.words.tobytes()
+        units = [xxhash.xxh3_64_intdigest(data[8 * x : 8 * y]) for x, y in zip(first.tolist(), last.tolist())]
+        return np.array(units, np.uint64).view(np.int64)
+
+    def band_keys(self, first: np.ndarray, last: np.ndarray, bands: int, width: int) -> np.ndarray:
+        """A row of band keys for each paragraph; one hash function at a time, to hold little."""
+        factor, shift = _multipliers(bands * BAND_ROWS)
+        shingles = rolling(self.words, width)
+        shingles = np.append(shingles, shingles[-1:])
+        edges = np.column_stack([first, last - width + 1]).ravel()
+        keys = np.empty((len(first), bands), np.uint64)
+        for b in range(bands):
+            key = np.full(len(first), b, np.uint64)
+            for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
+                key = mix(key + np.minimum.reduceat(shingles * factor[r] + shift[r], edges)[::2])
+            keys[:, b] = key
+        return keys.view(np.int64)
+
+
+def _lines(bands: int, width: int, least_words: int):
+    """A row for each line, with its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                cut = Paragraphs(part.column("text").to_pylist(), least_words)
+                a, b = cut.lines()
+                if len(a):
+                    flat = cut.band_keys(a, b, bands, width).ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([*_rows(part, cut, a, b), lists], [*_NAMES, "bands"])
 
+    return run
 
-def cut_paragraphs(text: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, start, end) of the lines, then of the stretches; places in code points.
 
-    The last value tells how many of them are lines.
-    """
-    data = np.frombuffer(text, np.uint8)
-    dark = ~_WHITE[data]
-    edge = np.diff(dark.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    line = np.searchsorted(np.flatnonzero(data == 10), starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    last = np.append(first[1:], len(starts))
-    long = last - first >= LEAST_WORDS
-    cuts = breakpoints(words)
-    to = np.searchsorted(cuts, cuts + LEAST_WORDS)
-    whole = to < len(cuts)
-    a = np.concatenate([first[long], cuts[whole]])
-    b = np.concatenate([last[long], cuts[to[whole]]])
-    points = np.cumsum((data & 0xC0) != 0x80)
-    return a, b, points[starts[a]] - 1 if len(a) else a, points[ends[b - 1] - 1] if len(b) else b, int(long.sum())
-
-
-def _units(bands: int, width: int):
-    """A row for each paragraph; ``bands`` above 0 adds the band keys of lines and leaves stretches out."""
-    factor, shift = _multipliers(bands * BAND_ROWS)
+def _units(least_words: int):
+    """A row for each line and each stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                cut = Paragraphs(part.column("text").to_pylist(), least_words)
+                a, b = map(np.concatenate, zip(cut.lines(), cut.stretches()))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(_rows(part, cut, a, b), _NAMES)
+
+    return run
+
+
+def _unit_hashes(least_words: int):
+    """The hash alone of each line and each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows, columns = [], [[] for _ in range(4)]
-                keys: list[np.ndarray] = []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    words = word_hashes(text)
-                    if len(words) < LEAST_WORDS:
-                        continue
-                    a, b, start, end, lines = cut_paragraphs(text, words)
-                    if bands:
-                        a, b, start, end = a[:lines], b[:lines], start[:lines], end[:lines]
-                        if not len(a):
-                            continue
-                        hashed = rolling(words, width)[None, :] * factor[:, None] + shift[:, None]
-                        edges = np.column_stack([a, b - width + 1]).ravel()
-                        least = np.minimum.reduceat(np.concatenate([hashed, hashed[:, -1:]], axis=1), edges, axis=1)[:, ::2]
-                        least = least.reshape(bands, BAND_ROWS, -1)
-                        key = np.broadcast_to(np.arange(bands, dtype=np.uint64)[:, None], (bands, least.shape[2]))
-                        for r in range(BAND_ROWS):
-                            key = mix(key + least[:, r])
-                        keys.append(key.T)
-                    data = words.tobytes()
-                    units = [xxhash.xxh3_64_intdigest(data[8 * x : 8 * y]) for x, y in zip(a.tolist(), b.tolist())]
-                    rows.append(np.full(len(a), i))
-                    for c, x in zip(columns, (np.array(units, np.uint64).view(np.int64), start, end, b - a)):
-                        c.append(x)
-                if not rows:
-                    continue
-                take = pa.array(np.concatenate(rows))
-                out = [part.column("doc_id").take(take), part.column("text_key").take(take), *[pa.array(np.concatenate(c), pa.int64()) for c in columns]]
-                names = ["doc_id", "text_key", "unit", "start", "end", "n_words"]
-                if bands:
-                    flat = np.concatenate(keys).view(np.int64).ravel()
-                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), pa.array(flat)))
-                    names.append("bands")
-                yield pa.RecordBatch.from_arrays(out, names)
+                cut = Paragraphs(part.column("text").to_pylist(), least_words)
+                a, b = map(np.concatenate, zip(cut.lines(), cut.stretches()))
+                yield pa.RecordBatch.from_arrays([pa.array(cut.hashes(a, b))], ["unit"])
 
     return run
 
 
+_NAMES = ["doc_id", "text_key", "unit", "start", "end", "n_words"]
+
+
+def _rows(part: pa.RecordBatch, cut: Paragraphs, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    take = pa.array(cut.owners(a))
+    columns = [cut.hashes(a, b), *cut.places(a, b), b - a]
+    return [part.column("doc_id").take(take), part.column("text_key").take(take), *[pa.array(c, pa.int64()) for c in columns]]
+
+
 ROWS = "doc_id long, text_key long, unit long, start long, end long, n_words long"
 
 
@@ -141,10 +203,10 @@ def _shingles(width: int):
     return run
 
 
-def line_links(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+def line_links(keyed: DataFrame, width: int, percent: int, least_words: int = LEAST_WORDS) -> DataFrame:
     """Verified links (a, b) between distinct lines of ``keyed`` (doc_id, text_key, text)."""
     bands = tuned_bands(percent)
-    lines = keyed.mapInArrow(_units(bands, width), ROWS + ", bands array<long>")
+    lines = keyed.mapInArrow(_lines(bands, width, least_words), ROWS + ", bands array<long>")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start", "end")
     lines = checkpoint(lines.groupBy("unit").agg(F.min(place).alias("at"), F.first("bands").alias("bands")))
     banded = lines.select("unit", F.explode("bands").alias("band"))
@@ -200,10 +262,10 @@ def _links_of_large_buckets(sets: DataFrame, percent: int) -> DataFrame:
     return links.select("a", "b").unionByName(equal)
 
 
-def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_key, component, start, end, n_words, removed, keeper_doc_id) of paragraphs that occur again.
 
-    A paragraph of LEAST_WORDS words or more occurs again when an equal one, or a line whose
+    A paragraph of ``least_words`` words or more (``width`` at least) occurs again when an equal one, or a line whose
     ``width``-word shingles have a Jaccard similarity of ``percent`` or more, stands
     elsewhere.  Of a component the occurrence with the smallest (doc_id, start) stays;
     ``removed`` marks the others.  Places are code points, end exclusive.
@@ -212,10 +274,12 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     after all others; rows equal in id and text count as one document; an
     empty table gives an empty result; further columns are ignored.
     """
+    if least_words < width:
+        raise ValueError("a paragraph needs as many words as a shingle")
     keyed = keyed_texts(docs)
-    roots = checkpoint(connected_components(line_links(keyed, width, percent)))
-    units = keyed.mapInArrow(_units(0, width), ROWS)
-    again = units.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
+    roots = checkpoint(connected_components(line_links(keyed, width, percent, least_words)))
+    units = keyed.mapInArrow(_units(least_words), ROWS)
+    again = keyed.select("text").mapInArrow(_unit_hashes(least_words), "unit long").groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
     linked = roots.select(F.col("node").alias("unit"), "root")
     wanted = again.join(linked, "unit", "full").select("unit", F.coalesce("root", "unit").alias("component"))
     rows = checkpoint(units.join(small_side(wanted), "unit").drop("unit").distinct())
@@ -226,13 +290,13 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     )
 
 
-def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """Overlapping and touching paragraphs of ``repeated_paragraphs`` joined to passages, one row each.
 
     (doc_id, text_key, removed, start, end, paragraphs, keeper_doc_id); a document's
     kept and removed passages are apart, and ``keeper_doc_id`` is the smallest of a passage.
     """
-    rows = repeated_paragraphs(docs, width, percent)
+    rows = repeated_paragraphs(docs, width, percent, least_words)
     own = Window.partitionBy("doc_id", "text_key", "removed").orderBy("start", "end")
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     begun = rows.withColumn("new", F.when(F.col("start") <= F.coalesce(reach, F.lit(-1)) + 1, 0).otherwise(1))
@@ -242,9 +306,9 @@ def repeated_passages(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     ).drop("passage")
 
 
-def without_repeats(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with removed passages cut out of their texts; n_chars, where it exists, is counted anew."""
-    spans = repeated_passages(docs, width, percent).filter("removed").groupBy("doc_id", "text_key")
+    spans = repeated_passages(docs, width, percent, least_words).filter("removed").groupBy("doc_id", "text_key")
     spans = spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans")
     same = (text_key(F.col("text")) == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
