@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.scale import checkpoint
+
+#: Files whose headers are sent to every task; with more of them lines meet their header by a shuffle.
+MAX_SENT_HEADS = 100_000
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", spread: int | None = None) -> DataFrame:
     """(file, line_no, value) of text files.  ``spread`` redistributes unsplittable (gz) input."""
     reader = spark.read
@@ -55,8 +61,10 @@ def headed_rows(lines: DataFrame, header_marker: str, width: int | None = None,
     heads = _with_cells(heads, "_head", width, "_cells").select(file, named.alias("_all"))
     # A name printed twice keeps its last column.
     last = F.filter("_all", lambda p: ~F.exists("_all", lambda q: (q["name"] == p["name"]) & (q["at"] > p["at"])))
-    heads = heads.select(file, last.alias("_cols")).select(file, F.col("_cols.name").alias("_names"), F.col("_cols.at").alias("_at"))
-    body = _with_cells(clean.filter(~is_header), "value", width, "_vals").join(heads, file)
+    heads = checkpoint(heads.select(file, last.alias("_cols")).select(file, F.col("_cols.name").alias("_names"), F.col("_cols.at").alias("_at")))
+    # One row a file: sent to every task, so that the lines of a large file stay where they were read.
+    few = heads.limit(MAX_SENT_HEADS + 1).count() <= MAX_SENT_HEADS
+    body = _with_cells(clean.filter(~is_header), "value", width, "_vals").join(F.broadcast(heads) if few else heads, file)
     values = F.transform("_at", lambda i: F.get(F.col("_vals"), i))
     return body.withColumn("row", F.map_from_arrays("_names", values)).drop("_vals", "_names", "_at", "value")
 
