@@ -2,8 +2,9 @@
 
 Tiers: hand map, known-absent, exact, unique containment, strict similarity.
 Nothing is paired with everything: containment looks the shorter name up by its rarest
-run of characters, and similarity candidates must share one of their rarest trigrams,
-which any pair at 0.90 or above does.
+run of characters; similarity candidates share a whole segment of the candidate's name at
+nearly the same place or, where names are long or a segment is common, one of their rarest
+trigrams, which any pair at 0.90 or above does.
 """
 
 from __future__ import annotations
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 
 from terrace import fixed_values as V
 from terrace.functions.text import fold_ascii, grams, name_similarity, normalize_name, trigrams
-from terrace.scale import checkpoint
+from terrace.scale import checkpoint, hot_keys
 
 SIMILARITY_FLOOR = 0.90
 #: Widths of the runs by which a contained name is looked up.
 ANCHORS = (1, 2, 3, 6, 12)
+#: Longest candidate name that is cut into segments; longer ones are found by trigrams alone.
+SEGMENT_LENGTH = 24
+#: Candidates that may hold one segment; those of commoner segments must share a rare trigram too.
+SEGMENT_HELD = 32
+_SEGMENT = ["block", "b", "most", "i", "segment"]
 
 
 def _names(teams: DataFrame, drop_tokens: str) -> DataFrame:
@@ -93,22 +99,74 @@ def _rare_grams(strings: DataFrame, held: DataFrame, floor: float) -> DataFrame:
     return ranked.select("block", "s", F.explode(F.slice("gs", F.lit(1), lacked + 1)).alias("x")).select("block", "s", "x.g")
 
 
-def similarity_hits(names: DataFrame, clubs: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
-    """Best candidate at or above ``floor``; ties go to the smallest id.
+def _outside(a: Column, b: Column, floor: float) -> Column:
+    """Most characters of two strings of these lengths outside their matched blocks at ``floor``; as odd or even as a + b."""
+    most = F.floor((1.0 - floor) * (a + b) + 1e-9).cast("int")
+    return most - F.pmod(most - (a + b), F.lit(2))
+
+
+def _partner_lengths(n: Column, floor: float, top: int | None = None) -> Column:
+    """All lengths of strings that a string of length ``n`` can be similar to, and a few more."""
+    hi = F.ceil(n * (2.0 / floor - 1.0)).cast("int")
+    lo = F.greatest(F.floor(n / (2.0 / floor - 1.0)).cast("int"), F.lit(1))
+    return F.sequence(lo, hi) if top is None else F.filter(F.sequence(lo, hi), lambda b: b <= top)
+
+
+def _cut(df: DataFrame, text: str, shift: Column) -> DataFrame:
+    """``segment``: the i-th of ``most`` + 1 nearly equal parts of a string of length b, as ``text`` has it moved by ``shift``."""
+    part = lambda i: F.floor(i * F.col("b") / (F.col("most") + 1)).cast("int")
+    df = df.withColumns({"_p": part(F.col("i")) + shift, "_n": part(F.col("i") + 1) - part(F.col("i"))})
+    return df.filter((F.col("_p") >= 0) & (F.col("_p") + F.col("_n") <= F.length(text))).withColumn("segment", F.substring(text, F.col("_p") + 1, F.col("_n")))
+
 
-    Two strings this similar always share a run of three characters and have
-    lengths within 2/floor - 1 of each other, so the join on their rarest trigrams loses
-    nothing; the trigrams that most names share are never joined on.
+def _similar_candidates(own: DataFrame, per_name: DataFrame, floor: float) -> DataFrame:
+    """(block, n, nn): every pair at ``floor`` or above and few others.
+
+    Similar strings differ by at most ``most`` single characters that only one of them has.  Of
+    ``most`` + 1 parts of the candidate's name one is left whole, with as many such characters
+    before it as it has parts before it, so the name holds that part at one of few places.
     """
-    own = names.filter(F.col("n") != "").select("block", F.col("n").alias("s")).distinct()
-    per_name = clubs.filter(F.col("nn") != "").groupBy("block", F.col("nn").alias("s")).agg(F.min("cid").alias("cid"))
     held = per_name.select("block", F.explode(trigrams(F.col("s"))).alias("g")).groupBy("block", "g").agg(F.count("*").alias("held"))
     a = _rare_grams(own, held, floor).withColumnRenamed("s", "n")
     b = _rare_grams(per_name, held, floor).withColumnRenamed("s", "nn")
-    la, lb = F.length("n"), F.length("nn")
-    near = 2.0 * F.least(la, lb) / (la + lb) >= floor
-    pairs = a.join(b, ["block", "g"]).filter(near).select("block", "n", "nn").distinct()
-    scored = pairs.withColumn("score", name_similarity("n", "nn")).filter(F.col("score") >= floor)
+    lb = F.length("nn")
+    pairs = [a.filter(F.length("n") >= int(SEGMENT_LENGTH / (2.0 / floor - 1.0))).join(b.filter(lb > SEGMENT_LENGTH), ["block", "g"]).select("block", "n", "nn")]
+
+    short = per_name.filter(F.length("s") <= SEGMENT_LENGTH).select("block", F.col("s").alias("nn"), F.length("s").alias("b"))
+    fits = lambda a, b: F.when(_outside(a, b, floor) >= F.abs(a - b), _outside(a, b, floor))
+    mosts = F.array_distinct(F.transform(_partner_lengths(F.col("b"), floor), lambda a: fits(a, F.col("b"))))
+    cut = short.withColumn("most", F.explode(F.filter(mosts, lambda m: m.isNotNull()))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    cut = _cut(cut, "nn", F.lit(0)).select(*_SEGMENT, "nn")
+
+    asked = own.select("block", F.col("s").alias("n"), F.length("s").alias("a")).withColumn("b", F.explode(_partner_lengths(F.col("a"), floor, SEGMENT_LENGTH)))
+    asked = asked.withColumn("most", fits(F.col("a"), F.col("b"))).filter("most is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    asked = asked.withColumn("moved", F.explode(F.sequence(-F.col("i"), F.col("i"), F.lit(2)))).filter("abs(a - b - moved) <= most - i")
+    asked = _cut(asked, "n", F.col("moved")).select(*_SEGMENT, "n").distinct()
+
+    common = hot_keys(cut, _SEGMENT, SEGMENT_HELD)
+    rare = cut
+    if common is not None:
+        rare = cut.join(common, _SEGMENT, "left_anti")
+        left = asked.join(common, _SEGMENT, "left_semi").join(a, ["block", "n"])
+        right = cut.join(common, _SEGMENT, "left_semi").join(b, ["block", "nn"])
+        pairs.append(left.join(right, [*_SEGMENT, "g"]).select("block", "n", "nn"))
+    pairs.append(asked.join(rare, _SEGMENT).select("block", "n", "nn"))
+    la, most = F.length("n"), _outside(F.length("n"), lb, floor)
+    close = (most >= F.abs(la - lb)) & (F.call_function("levenshtein", "n", "nn", F.greatest(most, F.lit(0))) >= 0)
+    out = [p.filter(close) for p in pairs]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0].distinct()
+
+
+def similarity_hits(names: DataFrame, clubs: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
+    """Best candidate at or above ``floor``; ties go to the smallest id.
+
+    Candidates come from ``_similar_candidates``, which loses no pair at the floor; only they are scored.
+    """
+    own = checkpoint(names.filter(F.col("n") != "").select("block", F.col("n").alias("s")).distinct())
+    per_name = checkpoint(clubs.filter(F.col("nn") != "").groupBy("block", F.col("nn").alias("s")).agg(F.min("cid").alias("cid")))
+    scored = _similar_candidates(own, per_name, floor).withColumn("score", name_similarity("n", "nn")).filter(F.col("score") >= floor)
     first = F.min(F.struct((-F.col("score")).alias("s"), F.col("cid")))
     best = scored.join(per_name.withColumnRenamed("s", "nn"), ["block", "nn"]).groupBy("block", "n").agg(first.alias("b"))
     return names.join(best, ["block", "n"]).select("block", "team", F.col("b.cid").alias("cid"), (-F.col("b.s")).alias("score"))
