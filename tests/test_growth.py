@@ -1,12 +1,14 @@
 """Steps that must stay spread out when one class, file, league or name holds most of the rows."""
 
+import math
 import random
 from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import ratings, resolve, splits, tables
+from terrace import scale
+from terrace.operators import bayes, ratings, resolve, splits, tables
 from terrace.sources import headed_csv
 
 
@@ -72,3 +74,39 @@ def test_only_near_names_are_scored(spark, monkeypatch, held):
     got = {(r.n, r.nn) for r in resolve._similar_candidates(own, per_name, resolve.SIMILARITY_FLOOR).collect()}
     assert set(near) <= got
     assert len(got) <= len(near) + 20
+
+
+def test_a_numbered_table_has_slices_by_its_rows(measured, monkeypatch):
+    rows = measured.range(0, 500, 1, 3).select("id", (F.col("id") * 7 % 500).alias("at"))
+    for most, least, want in ((50_000, 4_000, 1), (50_000, 100, 5), (50, 4_000, 10)):
+        monkeypatch.setattr(scale, "SLICE_ROWS", most)
+        monkeypatch.setattr(scale, "LEAST_SLICE_ROWS", least)
+        out = scale.number_rows(rows, ["at"], total=500)
+        assert out.rdd.getNumPartitions() == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan
+        assert all(r.at == r.row_no for r in out.collect())
+    assert {r.role: r.n for r in splits.holdout_split(rows, ["at"]).groupBy("role").agg(F.count("*").alias("n")).collect()} == {"train": 400, "calibrate": 50, "test": 50}
+
+
+def test_mutual_information_counts_cells_in_tasks(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = random.Random(5)
+    rows = [(rng.choice([-1, 0, 1]), rng.gauss(0, 1), rng.randrange(9), None, 4.0, rng.choice([None, 1.0, 2.5]), rng.choice([nan, 1.0]), rng.choice([inf, 0.0, 3.0])) for _ in range(300)]
+    rows += [(None, 0.5, 3, None, 4.0, 1.0, 1.0, 0.0)]
+    names = ["a", "b", "none", "same", "some", "nan", "inf"]
+    df = spark.createDataFrame(rows, "y int, a double, b long, none double, same double, some double, nan double, inf double").repartition(5)
+    got = bayes.mutual_information(df, names)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    cells = []  # the same bins by Spark's own expressions
+    for f in names:
+        lo, hi = df.agg(F.min(f).cast("double"), F.max(f).cast("double")).first()
+        width = F.lit(None if lo is None else (hi - lo) / 10)
+        at = F.when(width > 0, F.least(F.floor((F.col(f).cast("double") - F.lit(lo)) / width), F.lit(9))).otherwise(0)
+        cells += [(f, r.b, r.y, r.n) for r in df.groupBy(at.alias("b"), "y").agg(F.count("*").alias("n")).collect()]
+    for f, mi in got.collect():
+        own = [c for c in cells if c[0] == f]
+        by_b, by_y, total = ({k: sum(c[3] for c in own if c[i] == k) for k in {c[i] for c in own}} for i in (1, 2, 0))
+        want = sum(n / total[f] * math.log(n * total[f] / (by_b[b] * by_y[y])) for _, b, y, n in own if y is not None)
+        assert abs(mi - want) < 1e-12, f
+    assert got.count() == len(names)
