@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from terrace.scale import checkpoint, ensure_checkpoint_dir
 
 __all__ = [
-    "WHITE", "apart", "checkpoint", "chunks", "fresh", "keyed_texts", "mix", "put_back", "rolling", "shared_path", "small_side", "text_key", "texts_of",
-    "word_hashes",
+    "WHITE", "apart", "checkpoint", "chunks", "fresh", "hashed_words", "keyed_texts", "mix", "put_back", "rolling", "shared_path", "small_side", "text_key",
+    "texts_of", "word_hashes", "word_places",
 ]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a regular expression class body.
 WHITE = r"\x20\x09-\x0D"
+_WHITE_BYTES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Most words a worker remembers the hash of; the cache starts anew beyond it.
 CACHED_WORDS = 150_000
 #: Rows of a checked table up to which it is sent to every task; larger ones are joined by a shuffle.
@@ -129,6 +130,26 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words ``[^\\x20\\x09-\\x0D]+`` of an array of bytes."""
+    edge = np.diff((~_WHITE_BYTES[data]).astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def hashed_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data`` at ``starts`` to ``ends``, eight bytes of all words at a time."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(1))
+    left, at = np.arange(len(starts)), 0
+    while len(left):
+        rest = sizes[left] - at
+        own = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)
+        out[left] = mix(out[left] * np.uint64(0x9E3779B97F4A7C15) + (lanes[starts[left] + at] & own))
+        left, at = left[rest > 8], at + 8
+    return out
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` holds about ``size`` bytes, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

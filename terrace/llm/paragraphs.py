@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import apart, checkpoint, chunks, keyed_texts, mix, put_back, rolling, small_side, text_key, texts_of, word_hashes
+from terrace.llm.common import (
+    apart, checkpoint, chunks, hashed_words, keyed_texts, mix, put_back, rolling, small_side, text_key, texts_of, word_hashes, word_places,
+)
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
 
@@ -33,7 +35,6 @@ RADIUS = 4
 BAND_ROWS, RECALL = 2, 0.98
 #: Lines of a bucket up to which all its pairs are verified; those of larger ones are joined by their rarest shingles.
 SMALL_BUCKET = 8
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def tuned_bands(percent: int) -> int:
@@ -66,20 +67,6 @@ def breakpoints(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, np.flatnonzero(low)]))
 
 
-def hashed_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of ``data`` at ``starts`` to ``ends``, eight bytes of all words at a time."""
-    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
-    sizes = ends - starts
-    out = mix(sizes.astype(np.uint64) + np.uint64(1))
-    left, at = np.arange(len(starts)), 0
-    while len(left):
-        rest = sizes[left] - at
-        own = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)
-        out[left] = mix(out[left] * np.uint64(0x9E3779B97F4A7C15) + (lanes[starts[left] + at] & own))
-        left, at = left[rest > 8], at + 8
-    return out
-
-
 class Paragraphs:
     """Lines and stretches of many texts at once, as ranges over all their words."""
 
@@ -87,8 +74,7 @@ class Paragraphs:
         texts = [x or b"" for x in texts]
         joined = b"\n".join(texts).lower()
         data = np.frombuffer(joined, np.uint8)
-        edge = np.diff((~_WHITE[data]).astype(np.int8), prepend=0, append=0)
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.starts, self.ends = word_places(data)
         self.least, self.words = least_words, hashed_words(joined, self.starts, self.ends)
         self.begins = np.cumsum([0, *[len(x) + 1 for x in texts]])
         self.offsets = np.searchsorted(self.starts, self.begins)

@@ -34,10 +34,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, keyed_texts, rolling, small_side, text_key, texts_of, word_hashes
+from terrace.llm.common import checkpoint, chunks, hashed_words, keyed_texts, rolling, small_side, text_key, texts_of, word_places
 from terrace.llm.components import connected_components
 
 #: Most tokens in the list of widespread tokens: 8 MB, the bound of what is sent to every task.
@@ -46,8 +46,8 @@ WIDESPREAD_TOKENS = 1_000_000
 WIDESPREAD_DOCS = 8
 #: Groups up to this size are opened as pairs, larger ones in blocks; tokens of more classes than this name leaders.
 SMALL_GROUP = 8
-#: Bytes of sets that are sent to every task rather than shuffled.
-SENT_BYTES = 24 << 20
+#: Pairs to compare (two longs each) that are sent to every task at most: 16 MB.
+SENT_PAIRS = 1 << 20
 #: Classes of a widespread token that the others are verified against.
 LEADERS = 8
 #: Similarity to a leader, in percent, from which a class that links to none joins its group.
@@ -58,12 +58,23 @@ BLOCK = 512
 SLICE_TOKENS = 4096
 
 
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's ``width``-word shingles; the whole sequence where words are fewer."""
+    texts = [x or b"" for x in texts]
+    joined = b"\n".join(texts).lower()
+    starts, ends = word_places(np.frombuffer(joined, np.uint8))
+    words = hashed_words(joined, starts, ends)
+    shingles = rolling(words, width)
+    edges = np.searchsorted(starts, np.cumsum([0, *[len(x) + 1 for x in texts]])).tolist()
+    out = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = shingles[a : b - width + 1] if b - a >= width else rolling(words[a:b], b - a) if b > a else words[:0]
+        out.append(np.unique(own))
+    return out
+
+
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles; the whole sequence where words are fewer."""
-    words = word_hashes(text)
-    if len(words) == 0:
-        return words
-    return np.unique(rolling(words, min(width, len(words))))
+    return shingle_sets([text], width)[0]
 
 
 def signature_length(n: int, percent: int, common: int) -> int:
@@ -93,7 +104,7 @@ def _repeated_tokens(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), width) for x in batch.column("text")]
+            sets = [s for part in chunks(batch, "text") for s in shingle_sets(part.column("text").to_pylist(), width)]
             tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             del sets
             tokens.sort()
@@ -122,8 +133,7 @@ def _signatures(width: int, percent: int, widespread):
         for batch in batches:
             for part in chunks(batch, "text"):
                 sizes, classes, tokens = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingle_set(text, width)
+                for s in shingle_sets(part.column("text").to_pylist(), width):
                     sizes.append(len(s))
                     classes.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
                     keep = signature_length(len(s), percent, common) if len(s) >= least else 0
@@ -143,7 +153,7 @@ def _class_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                data = [shingle_set(x, width).tobytes() for x in part.column("text").to_pylist()]
+                data = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(data, pa.binary())], ["cls", "data"])
 
     return run
@@ -169,13 +179,15 @@ def _similar(percent: int, floor: int):
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, b) whose exact similarity reaches ``floor``; ``linked`` where it reaches ``percent``.
 
-    ``sets`` (cls, data), checkpointed, goes to every task where it has SENT_BYTES at most; else both sides are shuffled.
+    ``sets`` (cls, data) is checkpointed.  The pairs go to the sets, by a broadcast up to SENT_PAIRS,
+    so that a set is shuffled once for each pair it is the first of, and once if it is a second.
     """
-    if (sets.agg(F.sum(F.octet_length("data")).alias("b")).first()["b"] or 0) <= SENT_BYTES:
-        sets = F.broadcast(sets)
-    first = sets.select(F.col("cls").alias("a"), F.col("data").alias("data_a"))
-    second = sets.select(F.col("cls").alias("b"), F.col("data").alias("data_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "data_a", "data_b")
+    pairs = checkpoint(pairs)
+    few = pairs.count() <= SENT_PAIRS
+    sent = F.broadcast if few else lambda table: table
+    first = sets.join(sent(pairs), F.col("cls") == F.col("a")).select("a", "b", F.col("data").alias("data_a"))
+    second = sets.join(sent(pairs.select("b").distinct()), F.col("cls") == F.col("b"), "left_semi")
+    both = first.join(second.select(F.col("cls").alias("b"), F.col("data").alias("data_b")), "b").select("a", "b", "data_a", "data_b")
     return both.mapInArrow(_similar(percent, floor), "a long, b long, linked boolean")
 
 
@@ -330,15 +342,20 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     widespread = docs.sparkSession.sparkContext.broadcast(widespread_tokens(keyed.select("text"), width))
     schema = "doc_id long, text_key long, cls long, n long, tokens array<long>"
     rows = checkpoint(keyed.mapInArrow(_signatures(width, percent, widespread), schema))
+    filled = rows.filter(F.size("tokens") > 0)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    of_class = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    of_class = checkpoint(of_class)
-    postings = of_class.select(F.explode("tokens").alias("token"), "cls", F.col("n").cast("int").alias("n"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1").select("token")
-    postings = checkpoint(postings.join(shared, "token"))
+    of_class = checkpoint(filled.groupBy("cls").agg(F.min(order).alias("one"), F.count("*").alias("copies")))
+    # token lists stay where they are: of copies, the first alone gives its tokens
+    copied = small_side(of_class.filter("copies > 1").select("cls", "one"))
+    first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key"))
+    alone = filled.join(copied, "cls", "left").filter(F.col("one").isNull() | first)
+    postings = alone.select(F.explode("tokens").alias("token"), "cls", F.col("n").cast("int").alias("n"))
+    own = Window.partitionBy("token")  # one shuffle, where counting tokens and joining the counts takes two
+    shared = postings.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own)}).filter("least < most")
+    postings = checkpoint(shared.select("token", "cls", "n").dropDuplicates(["token", "cls"]))
     # fewer shared tokens than any link has: no partner
-    enough = postings.groupBy("cls").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= shared_tokens(percent)).select("cls")
-    postings = checkpoint(postings.join(enough, "cls"))
+    enough = postings.withColumn("shared", F.count("*").over(Window.partitionBy("cls"))).filter(F.col("shared") >= shared_tokens(percent))
+    postings = checkpoint(enough.drop("shared"))
 
     def sets_of(classes: DataFrame) -> DataFrame:
         wanted = of_class.join(classes, "cls").select("cls", F.col("one.doc_id").alias("want_id"), F.col("one.text_key").alias("want_key"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.llm import token_groups as tg
+from terrace.scale import checkpoint
 
 SCHEMA = "doc_id long, text string"
 
@@ -91,3 +92,38 @@ def test_one_of_each_group_stays_whatever_the_columns_are_called(spark):
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, long), (1, ""), (1, ""), (2, None), (8, "alone here")], key=lambda r: (r[0], str(r[1])))
     assert {(r.id, r["key"], r["__key"]) for r in got} == {(7, 8, 9)}
     assert tg.keep_one_per_group(docs.filter("false"), 5, 80).isEmpty()
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    texts = [b"A b  c d", None, b"", b" \t\n", b"one", b"a b c d e a b c d e", "é ß x y\x0bz".encode(), b"a\x00b c"]
+    plain = {}
+    for width in (1, 2, 4):
+        for text, got in zip(texts, tg.shingle_sets(texts, width)):
+            words = (text or b"").lower().split()
+            runs = [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+            assert len(got) == len(set(runs)) and list(got) == sorted(set(got.tolist()))
+            key = frozenset(runs)
+            assert plain.setdefault(key, got.tolist()) == got.tolist()
+    assert len({tuple(v) for v in plain.values()}) == len(plain)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_pairs_are_compared_without_shuffling_every_set(spark, monkeypatch, sent):
+    monkeypatch.setattr(tg, "SENT_PAIRS", sent)
+    sets = [(i, tg.shingle_set(" ".join(f"w{x}" for x in range(i, i + 40)).encode(), 1).tobytes()) for i in range(30)]
+    table = checkpoint(spark.createDataFrame(sets, "cls long, data binary"))
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 12) for b in range(a)], "a long, b long")
+    out = tg.compared(pairs, table, 80, 60)
+    shared = {d: 40 - d for d in range(1, 12)}
+    want = {(a, b, 100 * shared[a - b] >= 80 * (40 + a - b)) for a in range(1, 12) for b in range(a) if 100 * shared[a - b] >= 60 * (40 + a - b)}
+    assert {tuple(r) for r in out.collect()} == want
+    if sent:  # the sets of neither side are dealt out by the first of a pair
+        assert "hashpartitioning(a#" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_and_tokens_of_one_class_give_no_postings(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"w{i}" for i in range(58)) + " y z"
+    rows = [(1, text), (1, text), (2, text), (None, text), (4, other), (5, "alone " * 3), (6, None)]
+    got = tg.ngram_jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1), (4, 1), (5, 5), (6, 6)]
