@@ -13,7 +13,7 @@ Steps, all of them Spark jobs over whole tables:
    the most widespread tokens last, so shared passages rarely meet.
 3. *Groups.*  Every token that many classes share names a few of them as leaders, and all
    are compared with those.  Linked classes form groups (connected components); a class that
-   links to no leader but shares half of its tokens with one joins that one's group, so that a
+   links to no leader but may share half of its tokens with one joins that one's group, so that a
    family whose members are too far apart to link is still one group and not thousands.
 4. *Matrix.*  (token, group) pairs of the signature tokens, distinct.  For every
    class and every other, larger group: the number of common tokens bounds the
@@ -23,6 +23,8 @@ Steps, all of them Spark jobs over whole tables:
 
 Within a group linked members are connected already; only those that joined by
 half of their tokens are compared with the others of their own group.
+Wherever pairs are compared, bitmaps of the sets travel first; they bound the similarity from above, and the
+whole sets travel only for pairs whose bound reaches the threshold.
 The result is exact up to 64-bit hash collisions of shingles and of sets.
 """
 
@@ -50,8 +52,10 @@ SMALL_GROUP = 8
 SENT_PAIRS = 1 << 20
 #: Classes of a widespread token that the others are verified against.
 LEADERS = 8
-#: Similarity to a leader, in percent, from which a class that links to none joins its group.
-NEAR_PERCENT = 50
+#: Bound of the similarity to a leader, in percent, from which a class that links to none joins its group (about half its tokens).
+NEAR_PERCENT = 60
+#: Bits of a set's sketch for each of its tokens, at least.
+SKETCH_BITS = 4
 #: Rows of a block of members or of queries of a large group.
 BLOCK = 512
 #: Distinct tokens that two blocks are multiplied over at a time: 16 MB of counts at BLOCK rows.
@@ -176,10 +180,52 @@ def _similar(percent: int, floor: int):
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
-    """(a, b, linked) of the pairs (a, b) whose exact similarity reaches ``floor``; ``linked`` where it reaches ``percent``.
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's size and a bitmap of the leading bits of its tokens, a power of two long."""
+    for batch in batches:
+        data = []
+        for x in batch.column("data").to_pylist():
+            tokens = np.frombuffer(x, np.uint64)
+            width = max(6, (SKETCH_BITS * len(tokens) - 1).bit_length())
+            bits = np.zeros(1 << width, bool)
+            bits[(tokens >> np.uint64(64 - width)).astype(np.int64)] = True
+            data.append(np.int64(len(tokens)).tobytes() + np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(data, pa.binary())], ["cls", "data"])
+
+
+def most_common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """(size, size, most tokens in common) of two sets by their sketches."""
+    sizes = [int(np.frombuffer(z, np.int64, 1)[0]) for z in (x, y)]
+    maps = [np.frombuffer(z, np.uint8, offset=8) for z in (x, y)]
+    short = min(map(len, maps))
+    for i, own in enumerate(maps):
+        while len(own) > short:
+            own = np.packbits(np.unpackbits(own).reshape(-1, 2).any(axis=1))
+        maps[i] = own
+    # every bit that the other has not stands for a token at least that the other has not
+    lacking = [int(np.bitwise_count(p & ~q).sum()) for p, q in (maps, maps[::-1])]
+    return *sizes, min(n - m for n, m in zip(sizes, lacking))
+
+
+def _bounded(percent: int, floor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, may = [], []
+            for i, (x, y) in enumerate(zip(batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist())):
+                n, m, both = most_common(x, y)
+                if 100 * both >= floor * (n + m - both):
+                    keep.append(i)
+                    may.append(100 * both >= percent * (n + m - both))
+            near = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield near.append_column("may", pa.array(may, pa.bool_()))
 
-    ``sets`` (cls, data) is checkpointed.  The pairs go to the sets, by a broadcast up to SENT_PAIRS,
+    return run
+
+
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, data_a, data_b) of the pairs (a, b).
+
+    The pairs go to the sets, by a broadcast up to SENT_PAIRS,
     so that a set is shuffled once for each pair it is the first of, and once if it is a second.
     """
     pairs = checkpoint(pairs)
@@ -187,13 +233,45 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> Dat
     sent = F.broadcast if few else lambda table: table
     first = sets.join(sent(pairs), F.col("cls") == F.col("a")).select("a", "b", F.col("data").alias("data_a"))
     second = sets.join(sent(pairs.select("b").distinct()), F.col("cls") == F.col("b"), "left_semi")
-    both = first.join(second.select(F.col("cls").alias("b"), F.col("data").alias("data_b")), "b").select("a", "b", "data_a", "data_b")
-    return both.mapInArrow(_similar(percent, floor), "a long, b long, linked boolean")
+    return first.join(second.select(F.col("cls").alias("b"), F.col("data").alias("data_b")), "b").select("a", "b", "data_a", "data_b")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b) whose exact similarity reaches ``floor``; ``linked`` where it reaches ``percent``.
+
+    ``sets`` (cls, data) is checkpointed.
+    """
+    return _paired(pairs, sets).mapInArrow(_similar(percent, floor), "a long, b long, linked boolean")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int, floor: int) -> DataFrame:
+    """(a, b, may) of the pairs (a, b) whose similarity reaches ``floor`` by its upper bound; ``may`` where that reaches ``percent``.
+
+    No pair that reaches a threshold is left out; sketches travel, of a byte at most for each token instead of eight.
+    """
+    sketches = sets.mapInArrow(_sketches, "cls long, data binary")
+    return _paired(pairs, sketches).mapInArrow(_bounded(percent, floor), "a long, b long, may boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
-    return compared(pairs, sets, percent, percent).select("a", "b")
+    return compared(bounded(pairs, sets, percent, percent).select("a", "b"), sets, percent, percent).select("a", "b")
+
+
+def connecting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (a, b) that reach the threshold, and that connect all those that any of the pairs connect.
+
+    First every class is compared with one other.  Those links connect most of a family, so that its sets
+    travel about once and not once for each pair; the pairs whose ends are still apart follow.
+    """
+    pairs = checkpoint(pairs)
+    one = checkpoint(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    first = checkpoint(compared(one, sets, percent, percent).select("a", "b"))
+    roots = checkpoint(connected_components(first))
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rest = pairs.join(one, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return first.unionByName(compared(rest, sets, percent, percent).select("a", "b"))
 
 
 def _incidence(owner: np.ndarray, at: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -274,8 +352,9 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         .distinct()
     )
     pairs = checkpoint(pairs)
-    close = checkpoint(compared(pairs, sets_of(_ends(pairs, "a", "b")), percent, min(NEAR_PERCENT, percent)))
-    near = close.filter("linked").select("a", "b")
+    sets = sets_of(_ends(pairs, "a", "b"))
+    close = checkpoint(bounded(pairs, sets, percent, min(NEAR_PERCENT, percent)))
+    near = checkpoint(connecting(close.filter("may").select("a", "b"), sets, percent))
     roots = checkpoint(connected_components(near).select(F.col("node").alias("cls"), "root"))
     centres = close.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("centre"))
     group_of = (

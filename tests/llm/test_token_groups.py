@@ -127,3 +127,35 @@ def test_copies_and_tokens_of_one_class_give_no_postings(spark):
     rows = [(1, text), (1, text), (2, text), (None, text), (4, other), (5, "alone " * 3), (6, None)]
     got = tg.ngram_jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1), (4, 1), (5, 5), (6, 6)]
+
+
+def test_sketches_bound_every_similarity_and_spare_the_sets_of_most_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = []
+    for i in range(40):
+        words = [f"w{x}" for x in range(rng.choice([0, 1, 30, 90, 400]))]
+        words = [f"z{rng.randrange(10**6)}" if rng.random() < rng.choice([0.02, 0.3]) else w for w in words]
+        sets.append(tg.shingle_set(" ".join(words).encode(), 1))
+    table = checkpoint(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "cls long, data binary"))
+    exact = {(a, b): (len(x := set(sets[a].tolist()) & set(sets[b].tolist())), len(sets[a]) + len(sets[b]) - len(x)) for a in range(40) for b in range(a)}
+    want = {p for p, (both, union) in exact.items() if 100 * both >= 85 * union}
+    pairs = spark.createDataFrame(list(exact), "a long, b long")
+    may = {(r.a, r.b) for r in tg.bounded(pairs, table, 85, 60).filter("may").collect()}
+    assert want <= may and len(may) < len(exact) / 2
+    asked = []
+    whole = tg.compared
+    monkeypatch.setattr(tg, "compared", lambda p, *more: asked.append(p.count()) or whole(p, *more))
+    assert {tuple(r) for r in tg.verified(pairs, table, 85).select("a", "b").collect()} == want
+    assert asked == [len(may)]
+
+
+def test_a_family_is_connected_without_comparing_all_its_pairs(spark, monkeypatch):
+    sets = [(i, tg.shingle_set(" ".join([f"f{i // 10}x{x}" for x in range(60)] + [f"own{i}"]).encode(), 1).tobytes()) for i in range(30)]
+    table = checkpoint(spark.createDataFrame(sets, "cls long, data binary"))
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "a long, b long")
+    asked = []
+    whole = tg.compared
+    monkeypatch.setattr(tg, "compared", lambda p, *more: asked.append(p.count()) or whole(p, *more))
+    links = tg.connecting(pairs.filter("floor(a / 10) = floor(b / 10)"), table, 85)
+    got = {r.node: r.root for r in tg.connected_components(links).collect()}
+    assert got == {i: i // 10 * 10 for i in range(30)} and asked == [27, 0]
