@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from terrace.scale import checkpoint, ensure_checkpoint_dir
 
 __all__ = [
-    "WHITE", "apart", "checkpoint", "chunks", "fresh", "hashed_words", "keyed_texts", "mix", "put_back", "rolling", "shared_path", "small_side", "text_key",
-    "texts_of", "word_hashes", "word_places",
+    "WHITE", "apart", "checkpoint", "chunks", "fresh", "hashed_words", "keyed_texts", "mix", "put_back", "rolling", "shared_path", "sieve", "small_side", "text_key",
+    "texts_of", "through", "word_hashes", "word_places",
 ]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a regular expression class body.
@@ -29,6 +29,8 @@ CACHED_WORDS = 150_000
 MAX_SENT_ROWS = 300_000
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
+#: Bits of a sieve for each key, and at most: 16 MB, the bound of what is sent to every task.
+SIEVE_BITS, MOST_SIEVE_BITS = 16, 1 << 27
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -75,6 +77,28 @@ def small_side(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_SENT_ROWS else table
 
 
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bitmap that lets the 64-bit hashes of the only column of ``keys`` through, and few others.
+
+    It spares a shuffle of rows that a join drops anyway; the join still follows.  Beyond
+    MOST_SIEVE_BITS / SIEVE_BITS keys it lets more others through.
+    """
+    (name,) = keys.columns
+    bits = 1 << (min(max(SIEVE_BITS * keys.count(), 64), MOST_SIEVE_BITS) - 1).bit_length()
+    at = F.col(name).bitwiseAND(F.lit(bits - 1))
+    one = F.expr(f"shiftleft(1L, cast(`{name}` & 63L AS int))")
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def through(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which of 64-bit ``hashes`` pass a ``sieve``."""
+    at = hashes.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, text) with the text as UTF-8 bytes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import (
-    apart, checkpoint, chunks, hashed_words, keyed_texts, mix, put_back, rolling, small_side, text_key, texts_of, word_hashes, word_places,
+    apart, checkpoint, chunks, hashed_words, keyed_texts, mix, put_back, rolling, sieve, small_side, text_key, through, word_places,
 )
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
@@ -126,7 +126,7 @@ class Paragraphs:
 
 
 def _lines(bands: int, width: int, least_words: int):
-    """A row for each line, with its band keys."""
+    """The hash and the band keys of each line, of equal lines of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,21 +134,25 @@ def _lines(bands: int, width: int, least_words: int):
                 cut = Paragraphs(part.column("text").to_pylist(), least_words)
                 a, b = cut.lines()
                 if len(a):
+                    units, first = np.unique(cut.hashes(a, b), return_index=True)
+                    a, b = a[first], b[first]
                     flat = cut.band_keys(a, b, bands, width).ravel()
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([*_rows(part, cut, a, b), lists], [*_NAMES, "bands"])
+                    yield pa.RecordBatch.from_arrays([pa.array(units), lists], ["unit", "bands"])
 
     return run
 
 
-def _units(least_words: int):
-    """A row for each line and each stretch."""
+def _units(least_words: int, wanted):
+    """A row for each line and each stretch that passes the sieve ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 cut = Paragraphs(part.column("text").to_pylist(), least_words)
                 a, b = map(np.concatenate, zip(cut.lines(), cut.stretches()))
+                passes = through(cut.hashes(a, b), wanted.value)
+                a, b = a[passes], b[passes]
                 if len(a):
                     yield pa.RecordBatch.from_arrays(_rows(part, cut, a, b), _NAMES)
 
@@ -180,11 +184,22 @@ def _rows(part: pa.RecordBatch, cut: Paragraphs, a: np.ndarray, b: np.ndarray) -
 ROWS = "doc_id long, text_key long, unit long, start long, end long, n_words long"
 
 
-def _shingles(width: int):
+def _line_sets(width: int, least_words: int, wanted):
+    """The shingles of the lines that pass the sieve ``wanted``, of equal lines of a batch once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.unique(rolling(word_hashes(x), width)).tobytes() for x in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(data, pa.binary())], ["cls", "data"])
+            seen: set[int] = set()
+            for part in chunks(batch, "text"):
+                cut = Paragraphs(part.column("text").to_pylist(), least_words)
+                a, b = cut.lines()
+                units = cut.hashes(a, b)
+                some = np.flatnonzero(through(units, wanted.value))
+                units, first = np.unique(units[some], return_index=True)
+                new = [(u, i) for u, i in zip(units.tolist(), some[first].tolist()) if u not in seen]
+                seen.update(u for u, _ in new)
+                data = [np.unique(rolling(cut.words[a[i] : b[i]], width)).tobytes() for _, i in new]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in new], pa.int64()), pa.array(data, pa.binary())], ["cls", "data"])
 
     return run
 
@@ -192,19 +207,16 @@ def _shingles(width: int):
 def line_links(keyed: DataFrame, width: int, percent: int, least_words: int = LEAST_WORDS) -> DataFrame:
     """Verified links (a, b) between distinct lines of ``keyed`` (doc_id, text_key, text)."""
     bands = tuned_bands(percent)
-    lines = keyed.mapInArrow(_lines(bands, width, least_words), ROWS + ", bands array<long>")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start", "end")
-    lines = checkpoint(lines.groupBy("unit").agg(F.min(place).alias("at"), F.first("bands").alias("bands")))
+    lines = keyed.select("text").mapInArrow(_lines(bands, width, least_words), "unit long, bands array<long>")
+    lines = checkpoint(lines.groupBy("unit").agg(F.first("bands").alias("bands")))
     banded = lines.select("unit", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = checkpoint(banded.join(shared.select("band"), "band"))
-    wanted = open_.select("unit").distinct().join(lines.select("unit", "at"), "unit").select(
-        F.col("unit").alias("cls"), F.col("at.doc_id").alias("want_id"), F.col("at.text_key").alias("want_key"), "at.start", "at.end"
-    )
-    texts = texts_of(keyed, wanted, "start", "end")
-    cut = F.substring(F.col("text").cast("string"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    sets = texts.select("cls", cut.cast("binary").alias("line")).mapInArrow(_shingles(width), "cls long, data binary")
-    sets = checkpoint(sets)
+    # equal lines have equal words, so any of them gives the shingles; texts are not shuffled for it
+    wanted = checkpoint(open_.select(F.col("unit").alias("cls")).distinct())
+    passing = keyed.sparkSession.sparkContext.broadcast(sieve(wanted))
+    sets = keyed.select("text").mapInArrow(_line_sets(width, least_words, passing), "cls long, data binary")
+    sets = checkpoint(sets.join(small_side(wanted), "cls", "left_semi").groupBy("cls").agg(F.first("data").alias("data")))
     sizes = open_.groupBy("band").agg(F.count("*").alias("lines"))
     here = open_.join(sizes, "band")
     small = here.filter(F.col("lines") <= SMALL_BUCKET).select("band", "unit")
@@ -264,10 +276,12 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
         raise ValueError("a paragraph needs as many words as a shingle")
     keyed = keyed_texts(docs)
     roots = checkpoint(connected_components(line_links(keyed, width, percent, least_words)))
-    units = keyed.mapInArrow(_units(least_words), ROWS)
     again = keyed.select("text").mapInArrow(_unit_hashes(least_words), "unit long").groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
     linked = roots.select(F.col("node").alias("unit"), "root")
     wanted = again.join(linked, "unit", "full").select("unit", F.coalesce("root", "unit").alias("component"))
+    wanted = checkpoint(wanted)
+    passing = keyed.sparkSession.sparkContext.broadcast(sieve(wanted.select("unit")))
+    units = keyed.mapInArrow(_units(least_words, passing), ROWS)
     rows = checkpoint(units.join(small_side(wanted), "unit").drop("unit").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start", "end")
     keepers = rows.groupBy("component").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")

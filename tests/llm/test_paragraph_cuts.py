@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from terrace.llm.common import word_hashes
+from terrace.llm import paragraphs
+from terrace.llm.common import sieve, through, word_hashes
 from terrace.llm.paragraphs import Paragraphs, repeated_paragraphs
 
 TEXTS = [
@@ -48,3 +49,25 @@ def test_near_copies_of_short_lines_are_found_where_asked_for(spark):
     assert {r.doc_id for r in repeated_paragraphs(docs, least_words=8).filter("removed").collect()} == {2}
     with pytest.raises(ValueError):
         repeated_paragraphs(docs, width=5, least_words=4)
+
+
+def test_a_sieve_lets_its_keys_through_and_few_others(spark):
+    rng = np.random.default_rng(6)
+    keys, others = rng.integers(-(2**63), 2**63 - 1, (2, 5000))
+    bitmap = sieve(spark.createDataFrame([(int(k),) for k in keys], "unit long"))
+    assert through(keys, bitmap).all() and through(others, bitmap).mean() < 0.1
+    assert not through(others, sieve(spark.createDataFrame([], "unit long"))).any()
+
+
+def test_units_found_once_are_not_shuffled(spark):
+    line = " ".join(f"same{i}" for i in range(20))
+    rows = [(i, f"{line}\n" + " ".join(f"d{i}x{j}" for j in range(400))) for i in range(6)]
+    keyed = paragraphs.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    unit = paragraphs.Paragraphs([line.encode()], 16)
+    units = unit.hashes(*unit.lines())
+    passing = spark.sparkContext.broadcast(sieve(spark.createDataFrame([(int(u),) for u in units], "unit long")))
+    found = keyed.mapInArrow(paragraphs._units(16, passing), paragraphs.ROWS).collect()
+    assert {r.doc_id for r in found if r.unit == units[0]} == set(range(6))
+    assert len(found) < 30  # of hundreds
+    got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.removed, r.start, r.end) for r in got) == [(i, i > 0, 0, len(line)) for i in range(6)]
