@@ -7,6 +7,10 @@ distinct suffixes on to the next lower order, whose counts are the numbers of
 distinct left neighbours.  Shards are as many as the corpus needs for a fixed number of
 bytes each, so memory does not grow with it and the model grows in step with it.
 
+Between shards n-grams travel as their words, which pack better than hashes of contexts.  Of a
+sorted array of hashes the two leading bytes stand in a list of places, and counts are a byte that
+names one of the most frequent values or a row of the rest, so a model takes about two thirds of plain arrays.
+
 Scoring: each worker maps the arrays from the shared folder and looks up the
 n-grams of a slice of texts in sorted order, so it touches each page once a slice.
 N-grams are known by 64-bit hashes.
@@ -27,12 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, filesystem, fresh, make_folder, mix, put_file, shared_path, word_hashes
+from terrace.llm.common import checkpoint, chunks, filesystem, fresh, hashed_words, make_folder, mix, put_file, release, shared_path, word_places
 
 #: Hashes of the marks before the first and after the last word; no word has them but by a hash collision.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Bytes of training text per shard.
 SHARD_BYTES = 32 << 20
+#: Code of a value that is not among the most frequent ones.
+RARE = 255
 ROWS = "level int, shard int, payload binary, n1 long, n2 long, n3 long, n4 long, total long, kinds long"
 
 
@@ -95,26 +101,36 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return words, np.frombuffer(data, np.dtype(f"u{size}"), n, at).astype(np.int64)
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): the order that sorts ``keys``, and where in it each distinct one begins, with the end."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(keys)]), len(keys))
+
+
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` from edge to edge."""
+    return np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[edges])
+
+
 def _merged(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows with summed counts, sorted by the first word."""
-    key = _fold(words) if words.shape[1] > 1 else words[:, 0]
-    order = np.argsort(key)
-    edges = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-    sums = np.add.reduceat(counts[order], edges) if len(order) else counts
-    words = words[order[edges]]
-    order = np.argsort(words[:, 0], kind="stable")
+    order, edges = _ranked(_fold(words) if words.shape[1] > 1 else words[:, 0])
+    words, sums = words[order[edges[:-1]]], _sums(counts[order], edges)
+    if words.shape[1] == 1:
+        return words, sums
+    order = np.argsort(words[:, 0])
     return words[order], sums[order]
 
 
 def _dealt(level: int, words: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes]]:
-    """Rows by the shard of their first word, which they are sorted by.
-
-    From order two on the first column is the hash of the context.
-    """
-    edges = np.searchsorted(_shard(words[:, 0], shards), np.arange(shards + 1))
+    """Rows, sorted by the first word, by the shard of their context; single words by their own."""
+    shard = _shard(_fold(words[:, :-1]) if words.shape[1] > 1 else words[:, 0], shards)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         if b > a:
-            yield level, i, _pack(words[a:b], counts[a:b])
+            yield level, i, _pack(words[order[a:b]], counts[order[a:b]])
 
 
 def _table(rows: list[tuple], stats: tuple[int, ...] = (0,) * 6) -> pa.Table:
@@ -125,39 +141,66 @@ def _table(rows: list[tuple], stats: tuple[int, ...] = (0,) * 6) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def _context_first(grams: np.ndarray) -> np.ndarray:
-    """Word rows as (hash of all but the last, second word, ..., last word)."""
-    return np.column_stack([_fold(grams[:, :-1]), grams[:, 1:]])
+def _padded(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, firsts, sizes): word hashes of all texts with their marks, where the n-gram of each token begins, tokens of each text."""
+    texts = [x or b"" for x in texts]
+    joined = b"\n".join([*texts, b""]).lower()
+    starts, ends = word_places(np.frombuffer(joined, np.uint8))
+    offsets = np.searchsorted(starts, np.cumsum([0, *[len(x) + 1 for x in texts]]))
+    sizes, text = np.diff(offsets) + 1, np.arange(len(texts))
+    words = np.full(len(starts) + order * len(texts), START, np.uint64)
+    words[np.arange(len(starts)) + np.repeat(text, sizes - 1) * order + order - 1] = hashed_words(joined, starts, ends)
+    words[offsets[1:] + order * (text + 1) - 1] = END
+    return words, np.arange(sizes.sum()) + np.repeat(text, sizes) * (order - 1), sizes
 
 
 def _sequences(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(grams, sizes): the n-grams of all texts, one row a token, and the number of tokens of each text."""
-    pad = np.full(order - 1, START, np.uint64)
-    grams, sizes = [], []
-    for text in texts:
-        row = np.concatenate([pad, word_hashes(text), [END]])
-        sizes.append(len(row) - order + 1)
-        grams.append(np.lib.stride_tricks.sliding_window_view(row, order))
-    return np.concatenate(grams), np.array(sizes, np.int64)
+    words, firsts, sizes = _padded(texts, order)
+    return np.lib.stride_tricks.sliding_window_view(words, order)[firsts], sizes
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text with A-Z lower-cased."""
+    return _sequences([text], 1)[0][:-1, 0]
+
+
+def _tallied(words: np.ndarray, firsts: np.ndarray, order: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Distinct last words and distinct n-grams, each with counts and sorted by the first word."""
+    known, places = np.unique(words, return_inverse=True)
+    last = np.bincount(places[firsts + order - 1], minlength=len(known))
+    single = known[last > 0][:, None], last[last > 0]
+    if len(known) ** order >= 1 << 63:  # a place in the order of all n-grams is no 64-bit number
+        grams = np.lib.stride_tricks.sliding_window_view(words, order)[firsts]
+        return single, _merged(grams, np.ones(len(grams), np.int64))
+    codes = places[firsts]
+    for j in range(1, order):
+        codes = codes * len(known) + places[firsts + j]
+    codes, counts = np.unique(codes, return_counts=True)
+    grams = np.empty((len(codes), order), np.uint64)
+    for j in range(order - 1, -1, -1):
+        codes, at = np.divmod(codes, len(known))
+        grams[:, j] = known[at]
+    return single, (grams, counts)
 
 
 def _count(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams = np.concatenate(held)
-            ones = np.ones(len(grams), np.int64)
-            rows = [*_dealt(1, *_merged(grams[:, -1:], ones), shards)]
+            begins = np.cumsum([0, *[len(w) for w, _ in held[:-1]]])
+            single, grams = _tallied(np.concatenate([w for w, _ in held]), np.concatenate([f + b for (_, f), b in zip(held, begins)]), order)
+            rows = [*_dealt(1, *single, shards)]
             if order > 1:
-                rows += _dealt(order, *_merged(_context_first(grams), ones), shards)
+                rows += _dealt(order, *grams, shards)
             yield from _table(rows).to_batches()
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                held.append(_sequences(part.column("text").to_pylist(), order)[0])
-                size += len(held[-1])
+                held.append(_padded(part.column("text").to_pylist(), order)[:2])
+                size += len(held[-1][1])
                 if size > 4_000_000:
                     yield from flush()
                     held, size = [], 0
@@ -173,6 +216,31 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     put_file(f"{folder}/{name}.npy", [data.getbuffer()])
 
 
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted hashes without their two leading bytes, and where the hashes of each pair of leading bytes begin."""
+    _save(folder, f"{name}-begins", np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32))
+    _save(folder, f"{name}-middle", (keys >> np.uint64(32)).astype(np.uint16))
+    _save(folder, f"{name}-low", keys.astype(np.uint32))
+
+
+def _save_coded(folder: str, name: str, columns: list[np.ndarray]) -> None:
+    """A byte a row: the place of its values among the most frequent ones, or RARE; those stand in a second array, with their row numbers."""
+    rows = np.column_stack(columns).astype(np.int64)
+    small = np.flatnonzero(rows.max(axis=1, initial=0) < 256)
+    packed = rows[small] @ (256 ** np.arange(rows.shape[1]))
+    values, places, counts = np.unique(packed, return_inverse=True, return_counts=True)
+    often = np.argsort(-counts, kind="stable")[:RARE]
+    code_of = np.full(len(values), RARE, np.uint8)
+    code_of[often] = np.arange(len(often))
+    codes = np.full(len(rows), RARE, np.uint8)
+    codes[small] = code_of[places]
+    table = np.zeros((RARE, rows.shape[1] + 1), np.int64)
+    table[: len(often), 1:] = values[often][:, None] >> (8 * np.arange(rows.shape[1])) & 255
+    rare = np.flatnonzero(codes == RARE)
+    _save(folder, f"{name}-codes", codes)
+    _save(folder, f"{name}-values", _small(np.concatenate([table, np.column_stack([rare, rows[rare]])])))
+
+
 def _small(array: np.ndarray) -> np.ndarray:
     return array.astype(np.min_scalar_type(int(array.max()) if len(array) else 0))
 
@@ -187,22 +255,24 @@ def _merge_level(level: int, shards: int, folder: str):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         own, shard = key[0].as_py(), key[1].as_py()
         parts = [_unpack(p) for p in group.column("payload").to_pylist() if p is not None]
-        words, counts = _merged(np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts]))
+        words, counts = np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts])
         del parts
         if own != level:  # counts of single words, on their way to the last step
-            return _table([(own, shard, _pack(words, counts))])
+            return _table([(own, shard, _pack(*_merged(words, counts)))])
         # a gram is known by the hash of its context and its last word
-        grams = mix(words[:, 0] + mix(words[:, -1]))
-        order = np.argsort(grams)
-        _save(folder, f"grams-{level}-{shard}", grams[order])
-        _save(folder, f"counts-{level}-{shard}", _small(counts[order]))
-        edges = np.flatnonzero(np.diff(words[:, 0], prepend=~words[:1, 0]))
-        _save(folder, f"contexts-{level}-{shard}", words[edges, 0])
-        sums = [np.add.reduceat(x, edges) for x in (counts, counts == 1, counts == 2, counts > 2)]
-        for name, x in zip(("total", "n1", "n2", "n3"), sums):
-            _save(folder, f"{name}-{level}-{shard}", _small(x.astype(np.int64)))
-        lower = words[:, 1:] if level == 2 else _context_first(words[:, 1:])
-        lower, ones = _merged(lower, np.ones(len(lower), np.int64))
+        contexts = _fold(words[:, :-1])
+        grams = mix(contexts + mix(words[:, -1]))
+        order, edges = _ranked(grams)
+        counts, first = _sums(counts[order], edges), order[edges[:-1]]
+        _save_keys(folder, f"grams-{level}-{shard}", grams[first])
+        _save_coded(folder, f"counts-{level}-{shard}", [counts])
+        words, contexts = words[first], contexts[first]
+        del grams, order, first
+        order, edges = _ranked(contexts)
+        _save_keys(folder, f"contexts-{level}-{shard}", contexts[order[edges[:-1]]])
+        own_counts = counts[order]
+        _save_coded(folder, f"totals-{level}-{shard}", [_sums(x, edges) for x in (own_counts, own_counts == 1, own_counts == 2, own_counts > 2)])
+        lower, ones = _merged(words[:, 1:], np.ones(len(words), np.int64))
         # level 1 already has raw counts; those of distinct neighbours go by 0
         return _table([*_dealt(level - 1 if level > 2 else 0, lower, ones, shards)], _spread(counts))
 
@@ -223,8 +293,9 @@ def _merge_words(folder: str):
             lower[np.searchsorted(words[:, 0], sides[0][0][:, 0])] = sides[0][1]
         else:
             lower = raw
-        for name, x in (("words", words[:, 0]), ("raw", _small(raw)), ("lower", _small(lower))):
-            _save(folder, f"{name}-{shard}", x)
+        _save_keys(folder, f"words-{shard}", words[:, 0])
+        _save_coded(folder, f"seen-{shard}", [raw, lower])
+        _save(folder, f"lower-{shard}", np.bincount(np.minimum(lower, 3), minlength=4))
         counted = _spread(lower)
         return _table([(1, shard, None)], (*counted[:5], len(words))).append_column("tokens", pa.array([0, int(raw.sum())], pa.int64()))
 
@@ -255,14 +326,17 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         seen = rows.filter(F.col("payload").isNull()).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
         discounts.append(_discounts(*(x or 0 for x in seen)))
         rows = rows.filter(F.col("payload").isNotNull())
+        release(spark)
     done = checkpoint(rows.groupBy("shard").applyInArrow(_merge_words(folder), f"{ROWS}, tokens long"))
     seen = done.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds", "tokens")]).first()
     n1, n2, n3, n4, total, kinds, tokens = (x or 0 for x in seen)
     discounts.append(_discounts(n1, n2, n3, n4))
+    del rows, done
+    release(spark)
     return Model(folder, order, shards, tuple(reversed(discounts)), tokens, kinds, total)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 15)
 def _mapped(uri: str) -> np.ndarray:
     """The array at ``uri`` as a memory map; empty where there is none."""
     from pyarrow.fs import FileType, LocalFileSystem
@@ -271,46 +345,73 @@ def _mapped(uri: str) -> np.ndarray:
     if fs.get_file_info(path).type == FileType.NotFound:
         return np.empty(0, np.uint64)
     if isinstance(fs, LocalFileSystem):
-        return np.load(path, mmap_mode="r")
+        return np.load(path, mmap_mode="r").view(np.ndarray)
     # a store without local paths: the map outlives the name of its copy
     with tempfile.NamedTemporaryFile(suffix=".npy", delete=False) as copy, fs.open_input_stream(path) as data:
         while block := data.read(8 << 20):
             copy.write(block)
     try:
-        return np.load(copy.name, mmap_mode="r")
+        return np.load(copy.name, mmap_mode="r").view(np.ndarray)
     finally:
         os.unlink(copy.name)
 
 
-def _look_up(folder: str, shards: int, of_shard: np.ndarray, keys: np.ndarray, index: str, values: list[str]) -> list[np.ndarray]:
-    """Values of ``keys`` from the arrays of their shards; 0 where a key is unknown.  Keys are sorted within shards."""
-    out = [np.zeros(len(keys), np.int64) for _ in values]
+def _places(folder: str, name: str, keys: np.ndarray) -> np.ndarray:
+    """Place of each of ``keys`` among the hashes that ``_save_keys`` has written, or -1."""
+    begins, middle, low = (_mapped(f"{folder}/{name}-{part}.npy") for part in ("begins", "middle", "low"))
+    if not len(low):
+        return np.full(len(keys), -1)
+    at = lambda i: (middle[i].astype(np.uint64) << np.uint64(32)) | low[i]
+    head, rest = (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64((1 << 48) - 1)
+    least, end = begins[head].astype(np.int64), begins[head + 1].astype(np.int64)
+    most = end
+    for _ in range(int((most - least).max(initial=0)).bit_length()):
+        half = (least + most) >> 1
+        less = (least < most) & (at(np.minimum(half, len(low) - 1)) < rest)
+        least, most = np.where(less, half + 1, least), np.where(less, most, np.minimum(half, most))
+    return np.where((least < end) & (at(np.minimum(least, len(low) - 1)) == rest), least, -1)
+
+
+def _coded(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    """Rows of values at places ``at`` that ``_save_coded`` has written."""
+    codes, values = (_mapped(f"{folder}/{name}-{part}.npy") for part in ("codes", "values"))
+    row = codes[at].astype(np.int64)
+    rare = np.flatnonzero(row == RARE)
+    row[rare] += np.searchsorted(values[RARE:, 0], at[rare])
+    return values[row, 1:].astype(np.int64)
+
+
+def _look_up(folder: str, shards: int, of_shard: np.ndarray, keys: np.ndarray, index: str, values: str, width: int) -> list[np.ndarray]:
+    """The ``width`` values of ``keys`` from the arrays of their shards; 0 where a key is unknown.  Keys are sorted within shards."""
+    out = np.zeros((len(keys), width), np.int64)
     edges = np.searchsorted(of_shard, np.arange(shards + 1))
     for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        known = _mapped(f"{folder}/{index}-{i}.npy") if b > a else ()
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys[a:b])
-            for o, v in zip(out, values):
-                o[a + hit] = _mapped(f"{folder}/{v}-{i}.npy")[at[hit]]
-    return out
+        if b > a:
+            at = _places(folder, f"{index}-{i}", keys[a:b])
+            hit = np.flatnonzero(at >= 0)
+            if len(hit):
+                out[a + hit] = _coded(folder, f"{values}-{i}", at[hit])
+    return list(out.T)
 
 
 def _by_shard(shard_key: np.ndarray, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, key, inverse) of the distinct keys, sorted by shard and key."""
-    distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    ranks, edges = _ranked(key)
+    inverse = np.empty(len(key), np.int64)
+    inverse[ranks] = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    first = ranks[edges[:-1]]
     shard = _shard(shard_key[first], shards)
     order = np.argsort(shard, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return shard[order], distinct[order], back[inverse]
+    return shard[order], key[first][order], back[inverse]
 
 
 def token_scores(model: Model, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability, training count) of the last word of each row of ``grams``."""
     last = grams[:, -1]
     shard, keys, back = _by_shard(last, last, model.shards)
-    raw, lower = (x[back] for x in _look_up(model.folder, model.shards, shard, keys, "words", ["raw", "lower"]))
+    raw, lower = (x[back] for x in _look_up(model.folder, model.shards, shard, keys, "words", "seen", 2))
     d = model.discounts[0]
     taken = np.array([0.0, *d])
     spread = _unigram_spread(model)
@@ -320,14 +421,13 @@ def token_scores(model: Model, grams: np.ndarray) -> tuple[np.ndarray, np.ndarra
         context = _fold(rows[:, :-1])
         taken = np.array([0.0, *model.discounts[level - 1]])
         shard, keys, back = _by_shard(context, context, model.shards)
-        names = [f"{n}-{level}" for n in ("total", "n1", "n2", "n3")]
-        total, n1, n2, n3 = _look_up(model.folder, model.shards, shard, keys, f"contexts-{level}", names)
+        total, n1, n2, n3 = _look_up(model.folder, model.shards, shard, keys, f"contexts-{level}", f"totals-{level}", 4)
         some = np.maximum(total, 1)
         left = np.where(total > 0, (taken[1] * n1 + taken[2] * n2 + taken[3] * n3) / some, 1.0)[back]
         some = some[back]
         gram = mix(context + mix(last))
         shard, keys, back = _by_shard(context, gram, model.shards)
-        count = _look_up(model.folder, model.shards, shard, keys, f"grams-{level}", [f"counts-{level}"])[0][back]
+        count = _look_up(model.folder, model.shards, shard, keys, f"grams-{level}", f"counts-{level}", 1)[0][back]
         p = (count - taken[np.minimum(count, 3)]) / some + left * p
     return p, raw
 
@@ -340,7 +440,7 @@ def _unigram_spread(model: Model) -> float:
     n = np.zeros(4)
     for i in range(model.shards):
         lower = _mapped(f"{model.folder}/lower-{i}.npy")
-        n[1:] += [(lower == 1).sum(), (lower == 2).sum(), (lower > 2).sum()]
+        n[: len(lower)] += lower
     return float(n[1:] @ np.array(model.discounts[0]) / model.lower_total)
 
 
