@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import checkpoint
 
+#: Edges up to which a round runs in one task: without a shuffle, and without a file for each of many nearly empty partitions.
+EDGES_A_TASK = 100_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; ``root`` is the smallest node of the component.
@@ -14,8 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates two steps until no edge changes: each node hands its larger
     neighbours to the smallest one, then its smaller ones.  Every step is a
     group-by minimum and a join, so a node with many neighbours is never gathered
-    in one place.  Each round is checkpointed.  Null ends and self-links are
-    ignored; an empty table gives an empty result.
+    in one place beyond EDGES_A_TASK edges.  Each round is checkpointed.  Null ends and
+    self-links are ignored; an empty table gives an empty result.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     edges = checkpoint(edges)
@@ -25,6 +28,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(now) == before or now["n"] == 0:
             break
         before = tuple(now)
+        if now["n"] <= EDGES_A_TASK:
+            edges = edges.coalesce(1)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()

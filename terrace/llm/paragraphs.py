@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import (
-    apart, checkpoint, chunks, hashed_words, keyed_texts, mix, put_back, rolling, sieve, small_side, text_key, through, word_places,
+    apart, checkpoint, chunks, hashed_words, keyed_texts, mix, put_back, release, rolling, sieve, small_side, text_key, through, word_places,
 )
 from terrace.llm.components import connected_components
 from terrace.llm.token_groups import class_links, least_set, shared_tokens, verified
@@ -67,6 +67,17 @@ def breakpoints(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, np.flatnonzero(low)]))
 
 
+def range_minima(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least value of each range, by the two runs of a power of two that cover it."""
+    out = np.empty(len(first), values.dtype)
+    power = np.frexp((end - first).astype(np.float64))[1] - 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        own = np.flatnonzero(power == k)
+        out[own] = np.minimum(values[first[own]], values[end[own] - (1 << k)])
+        values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
 class Paragraphs:
     """Lines and stretches of many texts at once, as ranges over all their words."""
 
@@ -115,12 +126,11 @@ class Paragraphs:
         factor, shift = _multipliers(bands * BAND_ROWS)
         shingles = rolling(self.words, width)
         shingles = np.append(shingles, shingles[-1:])
-        edges = np.column_stack([first, last - width + 1]).ravel()
         keys = np.empty((len(first), bands), np.uint64)
         for b in range(bands):
             key = np.full(len(first), b, np.uint64)
             for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-                key = mix(key + np.minimum.reduceat(shingles * factor[r] + shift[r], edges)[::2])
+                key = mix(key + range_minima(shingles * factor[r] + shift[r], first, last - width + 1))
             keys[:, b] = key
         return keys.view(np.int64)
 
@@ -217,11 +227,13 @@ def line_links(keyed: DataFrame, width: int, percent: int, least_words: int = LE
     passing = keyed.sparkSession.sparkContext.broadcast(sieve(wanted))
     sets = keyed.select("text").mapInArrow(_line_sets(width, least_words, passing), "cls long, data binary")
     sets = checkpoint(sets.join(small_side(wanted), "cls", "left_semi").groupBy("cls").agg(F.first("data").alias("data")))
+    release(keyed.sparkSession)
     sizes = open_.groupBy("band").agg(F.count("*").alias("lines"))
     here = open_.join(sizes, "band")
     small = here.filter(F.col("lines") <= SMALL_BUCKET).select("band", "unit")
     pairs = small.select("band", F.col("unit").alias("a")).join(small.select("band", F.col("unit").alias("b")), "band").filter("a > b")
     near = checkpoint(verified(pairs.select("a", "b").distinct(), sets, percent))
+    release(keyed.sparkSession)
     large = here.filter(F.col("lines") > SMALL_BUCKET).select(F.col("unit").alias("cls")).distinct()
     return near.unionByName(_links_of_large_buckets(sets.join(large, "cls"), percent))
 
@@ -276,10 +288,12 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
         raise ValueError("a paragraph needs as many words as a shingle")
     keyed = keyed_texts(docs)
     roots = checkpoint(connected_components(line_links(keyed, width, percent, least_words)))
+    release(docs.sparkSession)
     again = keyed.select("text").mapInArrow(_unit_hashes(least_words), "unit long").groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
     linked = roots.select(F.col("node").alias("unit"), "root")
     wanted = again.join(linked, "unit", "full").select("unit", F.coalesce("root", "unit").alias("component"))
     wanted = checkpoint(wanted)
+    release(docs.sparkSession)
     passing = keyed.sparkSession.sparkContext.broadcast(sieve(wanted.select("unit")))
     units = keyed.mapInArrow(_units(least_words, passing), ROWS)
     rows = checkpoint(units.join(small_side(wanted), "unit").drop("unit").distinct())

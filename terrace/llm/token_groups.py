@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpoint, chunks, hashed_words, keyed_texts, rolling, small_side, text_key, texts_of, word_places
+from terrace.llm.common import checkpoint, chunks, hashed_words, keyed_texts, release, rolling, small_side, text_key, texts_of, word_places
 from terrace.llm.components import connected_components
 
 #: Most tokens in the list of widespread tokens: 8 MB, the bound of what is sent to every task.
@@ -355,6 +355,7 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     sets = sets_of(_ends(pairs, "a", "b"))
     close = checkpoint(bounded(pairs, sets, percent, min(NEAR_PERCENT, percent)))
     near = checkpoint(connecting(close.filter("may").select("a", "b"), sets, percent))
+    release(postings.sparkSession)
     roots = checkpoint(connected_components(near).select(F.col("node").alias("cls"), "root"))
     centres = close.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("centre"))
     group_of = (
@@ -384,6 +385,7 @@ def class_links(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     )
     loose = grouped.filter("loose").select(F.col("cls").alias("query"), F.col("grp").alias("to"), F.col("members").alias("to_members"))
     opened = checkpoint(overlaps.select(F.col("cls").alias("query"), "to", "to_members").unionByName(loose))
+    release(postings.sparkSession)
     members = grouped.select(F.col("grp").alias("to"), F.col("cls").alias("member"))
     inside = opened.select("to").distinct().join(members, "to", "left").select(F.coalesce("member", "to").alias("cls"))
     sets = sets_of(inside.unionByName(opened.select(F.col("query").alias("cls"))).distinct())

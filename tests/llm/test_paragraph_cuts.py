@@ -71,3 +71,12 @@ def test_units_found_once_are_not_shuffled(spark):
     assert len(found) < 30  # of hundreds
     got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.removed, r.start, r.end) for r in got) == [(i, i > 0, 0, len(line)) for i in range(6)]
+
+
+def test_least_values_of_ranges_are_those_of_trying_every_value():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2**63, 700, np.uint64)
+    first = rng.integers(0, 699, 300)
+    end = first + 1 + (rng.random(300) * (700 - first - 1)).astype(int)
+    got = paragraphs.range_minima(values, first, end)
+    assert got.tolist() == [values[a:b].min() for a, b in zip(first, end)]
