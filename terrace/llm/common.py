@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.scale import checkpoint, ensure_checkpoint_dir
+from terrace.scale import checkpoint, ensure_checkpoint_dir, release
 
 __all__ = [
     "WHITE", "apart", "checkpoint", "chunks", "fresh", "hashed_words", "keyed_texts", "mix", "put_back", "release", "rolling", "shared_path", "sieve", "small_side", "text_key",
@@ -79,18 +77,6 @@ def small_side(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_SENT_ROWS else table
 
 
-def release(spark: SparkSession) -> None:
-    """Free the disk of steps whose results are checkpointed.
-
-    Spark removes shuffle files, and checkpoints where it is told to, once the driver has collected what refers to them;
-    without being asked it may not do so before a job ends.
-    """
-    for _ in range(3):  # what refers to a plan goes some time before the plan itself; two times were too few in trials
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def sieve(keys: DataFrame) -> np.ndarray:
     """A bitmap that lets the 64-bit hashes of the only column of ``keys`` through, and few others.
 
